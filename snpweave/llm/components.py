@@ -1,0 +1,32 @@
+"""Connected components of a link table by minimum labels and pointer jumping, in DataFrames throughout."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import discard, materialize
+
+
+def connected_components(links: DataFrame, *, src: str = "a", dst: str = "b") -> DataFrame:
+    """``(id, comp)`` for each id in ``links``; ``comp`` is the smallest id reachable.
+
+    Each round every id takes the least label among itself and its neighbours, then
+    the label of that label.  The sum over a hub's links is combined before the
+    shuffle, so a hub costs one row a task.  Labels are written to the shared folder
+    each round: nothing is collected, and a lost executor costs one round at most.
+    """
+    both = links.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b")
+    edges = materialize(both.union(both.select("b", "a")).distinct(), "edges")
+    labels = materialize(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp")), "labels")
+    while True:
+        near = edges.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
+        step = labels.join(near, labels.id == near.a).select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
+        jump = step.join(step.select(F.col("id").alias("comp"), F.col("comp").alias("far")), "comp", "left")
+        new = materialize(jump.select("id", "old", F.least("comp", "far").alias("comp")), "labels")
+        done = new.where("comp <> old").isEmpty()
+        discard(labels)
+        labels = new.select("id", "comp")
+        if done:
+            discard(edges)
+            return labels
