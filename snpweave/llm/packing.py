@@ -14,7 +14,10 @@ tokenised whole.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -26,20 +29,35 @@ from pyspark.sql import functions as F
 
 from .common import materialize, text_slices
 
-#: Words kept with their ids in one worker.
-CACHE_WORDS = 250_000
+#: Words kept with their ids in one worker (about 100 MB).
+CACHE_WORDS = 500_000
 #: Longer words are encoded anew each time.
 CACHE_CHARS = 64
 
+# The split of the word tokenizer, and the same split on lower-cased ASCII and Latin-1 letters.
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
+
 _worker: dict = {}
 
 
+def byte_letters() -> dict[int, str]:
+    """The characters that byte-level vocabularies write bytes with, for the Latin-1 letters as they stand in UTF-8."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    of = {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+    return {c: "".join(of[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
 class WordEncoder:
-    """Ids of whole texts from a tokenizer that drops white space, by way of a bounded table of words.
+    """Ids of whole texts.
 
-    A token of such a tokenizer never spans a blank, so a text's ids are its words'
-    ids joined; only blanks and line feeds are taken as cuts here, everything else
-    is left to the tokenizer.
+    Where the tokenizer drops white space, a token never spans a blank, so a text's ids
+    are its words' ids joined, and words are kept in a bounded table.  Only blanks and
+    line feeds are taken as cuts.  A new word of ASCII signs and Latin-1 letters is
+    split here and handed to the merge model at once; any other word, and any other
+    tokenizer's whole text, goes through the full tokenizer.
     """
 
     def __init__(self, blob: str):
@@ -47,23 +65,41 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(blob)
+        self.model = self.tokenizer.model
+        steps = (json.loads(blob).get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.by_word = (steps[0].get("pattern") or {}).get("Regex") == WORD_SPLIT
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "HI"[self.dtype.itemsize // 4]
+        self.letters = byte_letters()
         self.words: dict[str, bytes] = {}
 
+    def full(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def plain(self, word: str) -> bytes:
+        ids, known, tokens = [], self.words, self.model.tokenize
+        for piece in PLAIN_SPLIT.findall(word.lower()):
+            if piece in known:
+                ids.append(known[piece])
+            else:
+                ids.append(array(self.code, [t.id for t in tokens(piece if piece.isascii() else piece.translate(self.letters))]).tobytes())
+        return b"".join(ids)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_word:
+            return self.full([t or "" for t in texts])
         cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self.words) > CACHE_WORDS:
             self.words = {}
-        fresh = list(set(chain.from_iterable(cut)) - self.words.keys())
+        fresh = set(chain.from_iterable(cut)) - self.words.keys()
         known = self.words
         if fresh:
-            made = self.tokenizer.encode_batch(fresh, add_special_tokens=False)
-            ids = {w: np.array(e.ids, self.dtype).tobytes() for w, e in zip(fresh, made, strict=True)}
+            ids = {w: self.plain(w) for w in fresh if PLAIN.fullmatch(w) and "<|" not in w}
+            rest = [w for w in fresh if w not in ids]
+            ids.update(zip(rest, self.full(rest), strict=True))
+            self.words.update((w, b) for w, b in ids.items() if len(w) <= CACHE_CHARS)
             if any(len(w) > CACHE_CHARS for w in fresh):
-                self.words = known | {w: b for w, b in ids.items() if len(w) <= CACHE_CHARS}
                 known = known | ids
-            else:
-                known.update(ids)
         get = known.__getitem__
         return [b"".join(map(get, words)) for words in cut]
 
