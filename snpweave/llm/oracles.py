@@ -11,6 +11,17 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM n
 """
 
+OP7 = """
+WITH rules(host, path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, coalesce(rest, '') AS rest, regexp_extract(coalesce(rest, ''), '^[^/?#]*') AS raw FROM r),
+p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h)
+SELECT page_id, host, path,
+       (SELECT arg_max(u.host || u.path, length(u.host || u.path)) FROM rules u WHERE (p.host = u.host OR ends_with(p.host, '.' || u.host)) AND starts_with(p.path, u.path)) AS rule,
+       coalesce((SELECT arg_max(u.verdict, length(u.host || u.path)) FROM rules u WHERE (p.host = u.host OR ends_with(p.host, '.' || u.host)) AND starts_with(p.path, u.path)), 'allow') AS verdict
+FROM p
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8}
+    return {"op7_urls": OP7, "op8_exact_dedup": OP8}

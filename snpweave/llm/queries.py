@@ -12,7 +12,9 @@ from .exact_dedup import exact_dedup
 from .licenses import license_scan
 from .minhash import minhash_components
 from .packing import pack
+from .quality import quality_scores
 from .secrets import secret_report
+from .urlfilter import RULES, filter_urls
 
 #: The tokenizer whose ids are packed; a file of the installed vocabulary package.
 TOKENIZER = "word_bpe_49k.json"
@@ -36,10 +38,19 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_components(table(spark, sf_dir, "documents"))
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(list(RULES), "host string, path string, verdict string")
+    return filter_urls(table(spark, sf_dir, "pages"), rules)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -61,7 +72,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_decontam": op3_decontam,
         "op4_secrets": op4_secrets,
+        "op5_quality": op5_quality,
         "op6_minhash": op6_minhash,
+        "op7_urls": op7_urls,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_licenses": op9_licenses,
         "op10_packing": op10_packing,
