@@ -14,6 +14,7 @@ from .minhash import minhash_components
 from .packing import pack
 from .quality import quality_scores
 from .secrets import secret_report
+from .toxicity import toxicity_scores
 from .urlfilter import RULES, filter_urls
 
 #: The tokenizer whose ids are packed; a file of the installed vocabulary package.
@@ -30,6 +31,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -70,6 +75,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_toxicity": op2_toxicity,
         "op3_decontam": op3_decontam,
         "op4_secrets": op4_secrets,
         "op5_quality": op5_quality,
