@@ -49,6 +49,21 @@ def discard(df: DataFrame) -> None:
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Ids that are sent to every executor at most (some 30 MB); beyond it both sides are dealt by id.
+BROADCAST_IDS = 500_000
+
+
+def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose id is in ``dropped``; null ids stay.
+
+    The ids are written and counted first.  Up to ``BROADCAST_IDS`` they are broadcast
+    and no text moves; a longer list is joined by a shuffle on the id.
+    """
+    ids = materialize(dropped.select(id_col).where(F.col(id_col).isNotNull()).distinct(), "dropped")
+    small = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if small else ids, id_col, "left_anti").select(*docs.columns)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; other letters stay as they are."""
     return F.translate(text, UPPER, LOWER)
@@ -77,6 +92,28 @@ def text_slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE
             yield part, part.column(part.schema.get_field_index(text)).to_pylist()
 
 
+def sample_labelled(docs: DataFrame, known: DataFrame, per_label: int, seed: int, extra: list[str] | None = None) -> list:
+    """Rows ``(doc_id, label, text, *extra)`` of at most ``per_label`` documents a label, chosen by a hash of the id.
+
+    ``docs`` has ``doc_id, text``, ``known`` has ``doc_id, label``.  Labels are counted first;
+    then the ids under a hash bound that leaves about the wanted number are ordered and cut.
+    """
+    spark = docs.sparkSession
+    ids = materialize(docs.select("doc_id").join(known, "doc_id").select("doc_id", "label"), "sample-ids")
+    order = F.xxhash64("doc_id", F.lit(seed))
+    chosen = []
+    for label, n in sorted((r.label, r.n) for r in ids.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()):
+        bound = int(min(1.0, (1.2 * per_label + 50) / n) * 1_000_000)
+        some = ids.where((F.col("label") == F.lit(label)) & (F.pmod(order, F.lit(1_000_000)) < bound))
+        chosen += [(r.doc_id, r.label) for r in some.orderBy(order, "doc_id").limit(per_label).collect()]
+    discard(ids)
+    if not chosen:
+        return []
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label {known.schema['label'].dataType.simpleString()}"
+    small = F.broadcast(spark.createDataFrame(sorted(set(chosen)), schema))  # at most per_label ids a label
+    return docs.join(small, "doc_id").select("doc_id", "label", "text", *(extra or [])).orderBy("doc_id").collect()
+
+
 class WordTable:
     """Ids of words, given in order of first sight, with values worked out once a word.
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, held_out, materialize, text_slices
+from .common import WordTable, held_out, sample_labelled, text_slices
 
 #: Hash buckets, embedding size, filters of each width, widths.
 BUCKETS, EMBED, FILTERS, WIDTHS = 1 << 20, 12, 12, (1, 2, 3)
@@ -207,23 +207,6 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
     return float((scores[order[k]] + below) / 2)
 
 
-def sample_labelled(docs: DataFrame, known: DataFrame, extra: list[str], per_class: int = SAMPLE) -> list:
-    """At most about ``per_class`` rows of each label, chosen by a hash of the id: the counts come first, then one pass
-    with a hash bound for each label; an exact bound is kept by the limit."""
-    spark = docs.sparkSession
-    ids = materialize(docs.select("doc_id").join(known, "doc_id").select("doc_id", "label"), "sample-ids")
-    picked = None
-    for label, n in sorted((r.label, r.n) for r in ids.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()):
-        share = min(1.0, 1.2 * per_class / n)
-        some = ids.where((F.col("label") == label) & (F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000))).orderBy(F.xxhash64("doc_id", F.lit(SEED))).limit(per_class)
-        picked = some if picked is None else picked.union(some)
-    if picked is None:
-        return []
-    chosen = picked.distinct().collect()  # at most per_class ids a label
-    small = F.broadcast(spark.createDataFrame([(r.doc_id, r.label) for r in chosen], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int"))
-    return docs.join(small, "doc_id").select("doc_id", "label", "text", *extra).orderBy("doc_id").collect()
-
-
 def fit(rows: list, lang: bool) -> tuple[ConvText, dict[str, float]]:
     """A trained and calibrated model of sampled rows, with each language's threshold."""
     labels = np.array([r.label for r in rows], np.float32)
@@ -258,7 +241,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, label_col: str = "tox
     lang = [F.col(lang_col).cast("string").alias("lang")] if lang_col and lang_col in docs.columns else []
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(lang or [F.lit(None).cast("string").alias("lang")]))
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label")).where(~held_out(F.col("doc_id")))
-    model, limits = fit(sample_labelled(rows, known, ["lang"]), bool(lang))
+    model, limits = fit(sample_labelled(rows, known, SAMPLE, SEED, ["lang"]), bool(lang))
     model.tables = None
     sent, bounds = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(limits)
     id_type = rows.schema["doc_id"].dataType.simpleString()
