@@ -1,4 +1,8 @@
-"""From raw documents to packed training sequences: five stages, each written as Parquet and read again by the next."""
+"""From raw documents to packed training sequences: five stages, each written as Parquet and read again by the next.
+
+Every stage but the last returns the columns of ``documents``; what a stage drops is gone
+for the stages after it.
+"""
 
 from __future__ import annotations
 
@@ -6,18 +10,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snpweave.llm.common import materialize
+from snpweave.llm.common import materialize, without_ids
+from snpweave.llm.decontam import find_leaks
 from snpweave.llm.exact_dedup import exact_dedup
+from snpweave.llm.langid import keep_languages, learn
+from snpweave.llm.minhash import minhash_components
 from snpweave.llm.packing import pack
 from snpweave.llm.queries import packed_digests, tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Documents go if no language has this mean marginal over their words (or if they have no letter).
+LEAST_LANGUAGE_SCORE = 0.4
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learnt language stay."""
+    return keep_languages(docs, learn(docs), least=LEAST_LANGUAGE_SCORE)
+
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts the one with the largest id stays."""
-    kept = exact_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    return without_ids(docs, exact_dedup(docs).where("NOT kept"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near-duplicates the document with the smallest id stays."""
+    return without_ids(docs, minhash_components(docs).where("NOT kept"))
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, or an edited copy of one, go."""
+    return without_ids(docs, find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +50,10 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("language", language),
     ("exact_dedup", exact_copies),
+    ("minhash", near_copies),
+    ("decontam", benchmark_leaks),
     ("packing", packing),
 ]
 
