@@ -31,7 +31,7 @@ s AS (SELECT m, m % 40 AS chrom, 1 + 1500 * (m // 40) + 13 * ((m * m) % 97) AS p
 """
 #: Locus alignments from conversations, as SQL.
 LOCI = """
-WITH loci AS (SELECT conv_id AS locus, turn AS seq_ord, role AS sample,
+WITH RECURSIVE loci AS (SELECT conv_id AS locus, turn AS seq_ord, role AS sample,
   substr(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), 1, 40) AS seq FROM conversations)
 """
 
@@ -363,3 +363,441 @@ def _pop_index(spark, d):
     firsts = s.groupBy("pop").agg(F.min("ind").alias("first"))
     ranked = firsts.select("pop", F.dense_rank().over(Window.partitionBy(F.lit(1)).orderBy("first")).cast("long").alias("idx"))  # one row a population
     return s.join(F.broadcast(ranked), "pop").select("ind", "pop", "idx")
+
+
+# ---- lists ------------------------------------------------------------------------------------
+
+
+def listed_chroms(spark, d):
+    """A list of chromosomes: every third, and one that no site is on."""
+    return table(spark, d, "part").where("p_size % 3 = 0").select((F.col("p_size") % 50).cast("long").alias("chrom")).distinct()
+
+
+LISTED = G + ", li AS (SELECT DISTINCT CAST(p_size % 50 AS BIGINT) AS chrom FROM part WHERE p_size % 3 = 0)\n"
+
+
+@query("vcf_include_chrom", LISTED + "SELECT chrom, pos FROM s WHERE EXISTS (SELECT 1 FROM li WHERE li.chrom = s.chrom)")
+def _include(spark, d):
+    return lists.include(sites(spark).select("chrom", "pos"), listed_chroms(spark, d), "chrom")
+
+
+@query("vcf_remove_chrom", LISTED + "SELECT chrom, pos FROM s WHERE NOT EXISTS (SELECT 1 FROM li WHERE li.chrom = s.chrom)")
+def _exclude(spark, d):
+    return lists.exclude(sites(spark).select("chrom", "pos"), listed_chroms(spark, d), "chrom")
+
+
+@query("not_found", LISTED + "SELECT chrom FROM li EXCEPT SELECT chrom FROM s")
+def _not_found(spark, d):
+    return lists.not_found(listed_chroms(spark, d), sites(spark).select("chrom"), "chrom")
+
+
+@query("snp_inclusion", G + "SELECT ind, chrom, pos, a1, a2 FROM g WHERE (chrom, pos) IN (SELECT chrom, pos FROM s WHERE m % 11 = 3)")
+def _snp_inclusion(spark, d):
+    wanted = sites(spark).where("m % 11 = 3").select("chrom", "pos")
+    return lists.include(genotypes(spark, d).select("ind", "chrom", "pos", "a1", "a2"), wanted, ["chrom", "pos"])
+
+
+@query("snps_failing", BY_POP + "SELECT chrom, pos FROM s WHERE (chrom, pos) NOT IN (SELECT chrom, pos FROM bp GROUP BY 1, 2 HAVING min(prop) < 0.5)")
+def _failing(spark, d):
+    failing = by_pop(spark, d).groupBy("chrom", "pos").agg(F.min("prop").alias("p")).where("p < 0.5")
+    return lists.exclude(sites(spark).select("chrom", "pos"), failing, ["chrom", "pos"])
+
+
+@query("popfile_match_vcf", G + "SELECT ind, pop FROM smp WHERE ind IN (SELECT ind FROM g WHERE m % 2 = 0 AND a1 = 1 AND chrom = ind % 40)")
+def _popfile_match(spark, d):
+    present = genotypes(spark, d).where("m % 2 = 0 AND a1 = 1 AND chrom = ind % 40").select("ind")
+    return lists.include(samples(spark, d).select("ind", "pop"), present, "ind")
+
+
+@query("vcf_rename_loci", G + ", nm AS (SELECT c AS chrom, 'locus_' || c * 7 AS new FROM range(0, 60, 4) t(c)) SELECT new AS chrom, pos FROM s JOIN nm ON nm.chrom = s.chrom")
+def _rename_loci(spark, d):
+    names = spark.range(0, 60, 4).select(F.col("id").alias("chrom"), F.concat(F.lit("locus_"), (F.col("id") * 7).cast("string")).alias("new"))
+    return lists.rename_inner(sites(spark).select("chrom", "pos"), names, "chrom", "new")
+
+
+@query("vcf_rename_samples", "SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 1 THEN 'renamed_' || s_suppkey ELSE s_name END AS s_name FROM supplier")
+def _rename_samples(spark, d):
+    own = table(spark, d, "supplier").select("s_suppkey", "s_name")
+    names = own.where("s_suppkey % 4 = 1").select("s_name", F.concat(F.lit("renamed_"), F.col("s_suppkey").cast("string")).alias("new"))
+    return lists.rename_left(own, names, "s_name", "new").select("s_suppkey", "s_name")
+
+
+@query("label_lookup", "SELECT s_suppkey, CASE WHEN s_nationkey % 3 = 0 THEN '#00' || s_nationkey ELSE '#000000' END AS colour FROM supplier")
+def _labels(spark, d):
+    colours = table(spark, d, "nation").where("n_nationkey % 3 = 0").select(F.col("n_nationkey").alias("s_nationkey"), F.concat(F.lit("#00"), F.col("n_nationkey").cast("string")).alias("colour"))
+    return lists.label_or(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), colours, "s_nationkey", "colour", "#000000").select("s_suppkey", "colour")
+
+
+@query("color_annotation", "SELECT s_suppkey, s_name || '[&!color=#' || printf('%06x', s_nationkey * 4096) || ']' AS label FROM supplier")
+def _colours(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", F.format_string("%s[&!color=#%06x]", "s_name", (F.col("s_nationkey") * 4096).cast("int")).alias("label"))
+
+
+@query("order_reindex", "SELECT o AS ord, coalesce(s_suppkey, -1) AS s_suppkey, s_acctbal FROM (SELECT o, o * 3 AS k FROM range(60) t(o)) l LEFT JOIN supplier ON s_suppkey = k")
+def _reindex(spark, d):
+    order = spark.range(60).select(F.col("id").alias("ord"), (F.col("id") * 3).alias("k"))
+    return order.join(table(spark, d, "supplier"), F.col("s_suppkey") == F.col("k"), "left").select("ord", F.coalesce("s_suppkey", F.lit(-1)).alias("s_suppkey"), "s_acctbal")
+
+
+@query("barcode_contains", "SELECT s_name, b AS barcode FROM supplier JOIN (SELECT CAST(x AS VARCHAR) AS b FROM range(1, 40, 9) t(x)) ON contains(s_name, b)")
+def _barcodes(spark, d):
+    codes = spark.range(1, 40, 9).select(F.col("id").cast("string").alias("barcode"))  # a fixed list
+    return table(spark, d, "supplier").join(F.broadcast(codes), F.contains("s_name", "barcode")).select("s_name", "barcode")
+
+
+@query("consensus_loci", "SELECT l_partkey AS locus FROM lineitem WHERE l_suppkey % 7 = 1 INTERSECT SELECT l_partkey FROM lineitem WHERE l_suppkey % 7 = 2")
+def _intersect(spark, d):
+    rows = table(spark, d, "lineitem")
+    return rows.where("l_suppkey % 7 = 1").select(F.col("l_partkey").alias("locus")).intersect(rows.where("l_suppkey % 7 = 2").select("l_partkey"))
+
+
+@query("match_set_stats", "SELECT l_returnflag, count(l_partkey) AS total, count(DISTINCT l_partkey) AS distinct_loci FROM lineitem GROUP BY l_returnflag")
+def _set_stats(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count("l_partkey").alias("total"), F.countDistinct("l_partkey").alias("distinct_loci"))
+
+
+@query("same_mapping", "SELECT DISTINCT a.l_partkey AS locus, a.l_suppkey AS mapping FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey WHERE a.l_returnflag = 'A' AND b.l_returnflag = 'R'")
+def _same_mapping(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_partkey").alias("locus"), F.col("l_suppkey").alias("mapping"), "l_returnflag")
+    return lists.include(rows.where("l_returnflag = 'A'").select("locus", "mapping").distinct(), rows.where("l_returnflag = 'R'"), ["locus", "mapping"])
+
+
+@query("distinct_pops", G + "SELECT DISTINCT pop FROM smp")
+def _distinct_pops(spark, d):
+    return samples(spark, d).select("pop").distinct()
+
+
+@query("pop_membership", G + "SELECT pop, string_agg(CAST(ind AS VARCHAR), ',' ORDER BY ind) AS members FROM smp GROUP BY pop")
+def _membership(spark, d):
+    return samples(spark, d).groupBy("pop").agg(F.array_join(F.transform(F.array_sort(F.collect_list("ind")), lambda x: x.cast("string")), ",").alias("members"))
+
+
+@query("prefix_substring_pop", "SELECT s_suppkey, substr(s_name, 2, 4) AS pop FROM supplier")
+def _prefix_pop(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", F.substring("s_name", 2, 4).alias("pop"))
+
+
+# ---- mappings and hits ------------------------------------------------------------------------
+
+
+@query("vcf_read_trim", G + "SELECT chrom, pos FROM s WHERE pos <= 3000")
+def _read_trim(spark, d):
+    return sites(spark).where("pos <= 3000").select("chrom", "pos")
+
+
+@query("sam_matches", "SELECT l_orderkey AS qname, l_partkey AS rname, l_linenumber AS pos, CASE WHEN l_returnflag = 'A' THEN 0 WHEN l_returnflag = 'R' THEN 16 ELSE 4 END AS flag FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_quantity >= 20")
+def _sam(spark, d):
+    return alignments(spark, d).where(F.col("flag").isin(0, 16) & (F.col("mapq") >= 20)).select("qname", "rname", "pos", "flag")
+
+
+def alignments(spark, d):
+    """Line items as alignments: order = read, part = reference, line number = position, quantity = quality."""
+    flag = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "R", 16).otherwise(4)
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("qname"), F.col("l_partkey").alias("rname"), F.col("l_linenumber").alias("pos"), flag.alias("flag"), F.col("l_quantity").alias("mapq"), "l_suppkey")
+
+
+@query("sam_matches_fwd_start", "SELECT l_orderkey AS qname, max(l_partkey) AS rname FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber = 1 GROUP BY 1")
+def _sam_fwd(spark, d):
+    return alignments(spark, d).where("flag = 0 AND pos = 1").groupBy("qname").agg(F.max("rname").alias("rname"))
+
+
+@query("single_hit_only", "SELECT l_orderkey AS qname, max(l_partkey) AS rname FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1 HAVING count(*) = 1")
+def _single_hits(spark, d):
+    return lists.single_hits(alignments(spark, d).where(F.col("flag").isin(0, 16)).select("qname", "rname"), "qname")
+
+
+@query("first_hit_per_query", "SELECT o_custkey AS query, min(o_orderkey) AS hit FROM orders WHERE o_totalprice <= 200000 GROUP BY 1")
+def _first_hit(spark, d):
+    hits = table(spark, d, "orders").where("o_totalprice <= 200000").select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("ord"), F.col("o_orderkey").alias("hit"))
+    return lists.first_per(hits, "query", "ord").select("query", "hit")
+
+
+@query("blast_summary", "SELECT count(*) AS n_hits, coalesce(min(p_size), 0) AS min_length, coalesce(min(p_partkey), 0) AS min_nident, coalesce(min(p_retailprice), 0) AS min_pident FROM part WHERE p_type = 'ECONOMY'")
+def _hit_summary(spark, d):
+    return annotate.hit_summary(table(spark, d, "part").where("p_type = 'ECONOMY'").select(F.col("p_size").alias("length"), F.col("p_partkey").alias("nident"), F.col("p_retailprice").alias("pident")))
+
+
+@query("gene2go_first_match", "SELECT p_brand AS gene, min(p_partkey) AS ord FROM part JOIN nation ON n_nationkey = p_size WHERE n_regionkey = 2 GROUP BY p_brand")
+def _gene2go(spark, d):
+    go = table(spark, d, "nation").where("n_regionkey = 2").select(F.col("n_nationkey").alias("p_size"))
+    genes = table(spark, d, "part").join(go, "p_size").select(F.col("p_brand").alias("gene"), F.col("p_partkey").alias("ord"), "p_size")
+    return lists.first_per(genes, "gene", "ord").select("gene", "ord")
+
+
+@query("taxid_lookup", "SELECT c_custkey AS taxid, coalesce(n_name, 'NOT_FOUND') AS phylum FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 1) ON n_nationkey = c_nationkey")
+def _taxid(spark, d):
+    taxonomy = table(spark, d, "nation").where("n_regionkey <> 1").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("phylum"))
+    return lists.label_or(table(spark, d, "customer").select(F.col("c_custkey").alias("taxid"), "c_nationkey"), taxonomy, "c_nationkey", "phylum", "NOT_FOUND").select("taxid", "phylum")
+
+
+@query("taxid_first", "SELECT event_id, split_part(replace(props, ':', ';'), ';', 1) AS first FROM events")
+def _taxid_first(spark, d):
+    return table(spark, d, "events").select("event_id", F.split_part(F.replace("props", F.lit(":"), F.lit(";")), F.lit(";"), F.lit(1)).alias("first"))
+
+
+@query("fastq_bin", "SELECT l_partkey AS rname, count(*) AS n_reads FROM orders JOIN (SELECT l_orderkey, max(l_partkey) AS l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber = 1 GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1")
+def _fastq_bin(spark, d):
+    ref = alignments(spark, d).where("flag = 0 AND pos = 1").groupBy("qname").agg(F.max("rname").alias("rname"))
+    return table(spark, d, "orders").join(ref, F.col("o_orderkey") == F.col("qname")).groupBy("rname").agg(F.count(F.lit(1)).alias("n_reads"))
+
+
+@query("remap_join", G + "SELECT s.chrom, s.pos, p_partkey AS scaffold, CASE WHEN p_size % 2 = 0 THEN 1000 * p_size + pos - 1 ELSE 1000 * p_size + 90 - pos - 1 END AS new_pos FROM s JOIN part ON p_partkey = s.chrom")
+def _remap(spark, d):
+    mapping = table(spark, d, "part").select(F.col("p_partkey").alias("chrom"), F.col("p_partkey").alias("scaffold"), (1000 * F.col("p_size")).cast("long").alias("start"), F.when(F.col("p_size") % 2 == 0, 0).otherwise(16).alias("flag"))
+    return sites(spark).join(mapping, "chrom").select("chrom", "pos", "scaffold", sq.remapped(F.col("start"), F.lit(90), F.col("pos"), F.col("flag")).alias("new_pos"))
+
+
+@query("fst_percentiles", "SELECT quantile_cont(c_acctbal, 0.05) AS p05, quantile_cont(c_acctbal, 0.5) AS p50, quantile_cont(c_acctbal, 0.95) AS p95, min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer")
+def _percentiles(spark, d):
+    at = lambda p: F.percentile("c_acctbal", F.lit(p))
+    return table(spark, d, "customer").agg(at(0.05).alias("p05"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"))
+
+
+@query("fst_bin", "WITH b AS (SELECT quantile_cont(c_acctbal, 0.9) AS lo, quantile_cont(c_acctbal, 1.0) AS hi FROM customer) SELECT c_custkey AS locus, c_acctbal AS fst FROM customer, b WHERE c_acctbal >= lo AND c_acctbal < hi")
+def _fst_bin(spark, d):
+    return annotate.percentile_bin(table(spark, d, "customer").select(F.col("c_custkey").alias("locus"), F.col("c_acctbal").alias("fst")), 90, 100)
+
+
+# ---- assignments and conversions --------------------------------------------------------------
+
+Q1 = "(s_acctbal + 1000.0) / 11000.0"
+
+
+def shares(spark, d):
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("ind"), F.col("s_nationkey").alias("pop"), ((F.col("s_acctbal") + 1000.0) / 11000.0).alias("q1"))
+
+
+@query("assign_split", f"SELECT s_suppkey AS ind, CASE WHEN {Q1} > 0.7::DOUBLE THEN 'par1' WHEN {Q1} < 1.0::DOUBLE - 0.7::DOUBLE THEN 'par2' ELSE 'admix' END AS side FROM supplier")
+def _assign(spark, d):
+    return shares(spark, d).select("ind", annotate.parental_side(F.col("q1"), 0.7).alias("side"))
+
+
+@query("cluster_label", f"SELECT s_suppkey AS ind, CASE WHEN {Q1} >= 0.45::DOUBLE AND 1 - {Q1} >= 0.45::DOUBLE THEN 'AMBIGUOUS' WHEN {Q1} >= 0.45::DOUBLE THEN 'CLUSTER_1' WHEN 1 - {Q1} >= 0.45::DOUBLE THEN 'CLUSTER_2' ELSE 'UNASSIGNED' END AS label FROM supplier")
+def _cluster_label(spark, d):
+    return shares(spark, d).select("ind", annotate.cluster_label(F.array("q1", 1 - F.col("q1")), 0.45).alias("label"))
+
+
+@query("puechmaille_k", """WITH q AS (SELECT l_linenumber % 5 AS replicate, l_suppkey % 6 AS cluster, s_nationkey AS pop, CASE WHEN l_quantity > 24 + l_suppkey % 6 THEN 1 ELSE 0 END AS q FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
+m AS (SELECT replicate, cluster, pop, avg(q) AS m FROM q GROUP BY ALL), k AS (SELECT replicate, cluster, max(m) AS m FROM m GROUP BY ALL), n AS (SELECT replicate, count(*) FILTER (m > 0.5) AS k FROM k GROUP BY replicate)
+SELECT quantile_cont(k, 0.5) AS med_mea_k, max(k) AS max_mea_k FROM n""")
+def _best_k(spark, d):
+    rows = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    return annotate.best_k(rows.select((F.col("l_linenumber") % 5).alias("replicate"), (F.col("l_suppkey") % 6).alias("cluster"), F.col("s_nationkey").alias("pop"), (F.col("l_quantity") > 24 + F.col("l_suppkey") % 6).cast("int").alias("q")))
+
+
+DENSE = G + ", dn AS (SELECT smp.ind, smp.pop, smp.grp, s.chrom, s.pos, s.m, a1, a2 FROM smp CROSS JOIN s LEFT JOIN g ON g.ind = smp.ind AND g.m = s.m)\n"
+
+
+def dense(spark, d):
+    return convert.dense(genotypes(spark, d), samples(spark, d), sites(spark))
+
+
+@query("vcf2tess", DENSE + "SELECT ind, string_agg(coalesce(CAST(a1 + a2 AS VARCHAR), 'NA'), ' ' ORDER BY chrom, pos) AS line FROM dn GROUP BY ind")
+def _tess(spark, d):
+    return convert.sample_rows(dense(spark, d), "NA")
+
+
+@query("vcf2outflank", DENSE + "SELECT ind, string_agg(coalesce(CAST(a1 + a2 AS VARCHAR), '9'), ' ' ORDER BY chrom, pos) AS line FROM dn GROUP BY ind")
+def _outflank(spark, d):
+    return convert.sample_rows(dense(spark, d), "9")
+
+
+@query("genotype_matrix", DENSE + "SELECT chrom, pos, string_agg(coalesce(CAST(a1 + a2 AS VARCHAR), '-9'), ' ' ORDER BY ind) AS line FROM dn WHERE m % 10 = 1 GROUP BY chrom, pos")
+def _matrix_rows(spark, d):
+    listed = sites(spark).where("m % 10 = 1")
+    return convert.site_rows(convert.dense(genotypes(spark, d), samples(spark, d), listed), gt.coded(convert.dose_of(), "-9"))
+
+
+@query("vcf2introgress", DENSE + "SELECT chrom, pos, string_agg(CASE WHEN a1 IS NULL THEN 'NA/NA' ELSE a1 || '/' || a2 END, ',' ORDER BY ind) AS line FROM dn GROUP BY chrom, pos")
+def _introgress(spark, d):
+    return convert.site_rows(dense(spark, d), convert.introgress_cell(), ",")
+
+
+CODE = "CASE WHEN {a} IS NULL THEN '-9' WHEN {a} = 0 THEN CASE m % 2 WHEN 0 THEN '10' ELSE '12' END ELSE CASE m % 2 WHEN 0 THEN '11' ELSE '13' END END"
+
+
+@query("vcf2structure", DENSE + f"""SELECT ind, 1 AS hap, string_agg({CODE.format(a="a1")}, ' ' ORDER BY chrom, pos) AS line FROM dn GROUP BY ind UNION ALL
+SELECT ind, 2, string_agg({CODE.format(a="a2")}, ' ' ORDER BY chrom, pos) FROM dn GROUP BY ind""")
+def _structure(spark, d):
+    even = F.col("m") % 2 == 0
+    return convert.structure_rows(dense(spark, d), F.when(even, "A").otherwise("G"), F.when(even, "T").otherwise("C"))
+
+
+@query("vcf2hapmatrix", G + """SELECT ind, chrom, string_agg(CASE WHEN a1 = 0 THEN 'A' ELSE 'T' END, '' ORDER BY pos) || '/' || string_agg(CASE WHEN a2 = 0 THEN 'A' ELSE 'T' END, '' ORDER BY pos) AS tag FROM g GROUP BY ind, chrom""")
+def _haplotypes(spark, d):
+    return convert.haplotypes(genotypes(spark, d), F.lit("A"), F.lit("T"))
+
+
+@query("ref_alt_switch", G + "SELECT chrom, pos, count(*) FILTER (a1 + a2 = 0) > count(*) FILTER (a1 + a2 = 2) AS flip FROM g WHERE grp = 1 GROUP BY chrom, pos")
+def _flips(spark, d):
+    return convert.ref_alt_flips(genotypes(spark, d), F.col("grp") == 1)
+
+
+@query("ancestry_matrix", DIFF + """, fl AS (SELECT chrom, pos, count(*) FILTER (a1 + a2 = 0) > count(*) FILTER (a1 + a2 = 2) AS flip FROM g WHERE grp = 1 GROUP BY chrom, pos)
+SELECT df.chrom || '_' || df.pos AS marker, smp.ind, CAST(coalesce(CASE WHEN coalesce(flip, false) THEN 2 - (a1 + a2) ELSE a1 + a2 END, -9) AS BIGINT) AS dose
+FROM df CROSS JOIN smp LEFT JOIN g ON g.ind = smp.ind AND g.chrom = df.chrom AND g.pos = df.pos LEFT JOIN fl ON fl.chrom = df.chrom AND fl.pos = df.pos WHERE diff >= 0.25""")
+def _ancestry(spark, d):
+    g = genotypes(spark, d)
+    return convert.ancestry(dense(spark, d), frequencies.freq_diff(g, "grp", 0, 1), convert.ref_alt_flips(g, F.col("grp") == 1), 0.25)
+
+
+@query("crossed_gt", G + """, pr AS (SELECT i AS cross_id, i AS par1, 50 + i AS par2 FROM range(1, 6) t(i)), x AS (SELECT cross_id, g.chrom, g.pos, CASE WHEN substr(md5(cross_id || ':' || g.chrom || ':' || g.pos || ':1:9'), 1, 1) < '8' THEN g.a1 ELSE g.a2 END AS one,
+ CASE WHEN substr(md5(cross_id || ':' || g.chrom || ':' || g.pos || ':2:9'), 1, 1) < '8' THEN h.a1 ELSE h.a2 END AS two FROM pr JOIN g ON g.ind = par1 LEFT JOIN g h ON h.ind = par2 AND h.m = g.m)
+SELECT cross_id, chrom, pos, CASE WHEN one IS NULL OR two IS NULL THEN './.' ELSE least(one, two) || '/' || greatest(one, two) END AS call FROM x""")
+def _crossed(spark, d):
+    pairs = spark.range(1, 6).select(F.col("id").alias("cross_id"), F.col("id").alias("par1"), (F.col("id") + 50).alias("par2"))
+    return annotate.crossed(genotypes(spark, d), pairs, 9)
+
+
+@query("dart_gt", "SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN './.' WHEN 1 THEN '0/0' WHEN 2 THEN '1/1' WHEN 3 THEN '0/1' ELSE 'err' END AS call FROM part")
+def _dart(spark, d):
+    score = F.element_at(F.array(*map(F.lit, ("-", "0", "1", "2", "x"))), F.col("p_size") % 5 + 1)
+    return table(spark, d, "part").select("p_partkey", gt.dart_call(score).alias("call"))
+
+
+@query("biallelic_guard", G + "SELECT chrom, pos, count(*) * 2 AS n, CAST(count(DISTINCT a1) AS BIGINT) AS n_alleles FROM g GROUP BY chrom, pos HAVING count(DISTINCT a1) <= 2")
+def _biallelic(spark, d):
+    return genotypes(spark, d).groupBy("chrom", "pos").agg((F.count("a1") + F.count("a2")).alias("n"), F.countDistinct("a1").alias("n_alleles")).where("n_alleles <= 2")
+
+
+@query("fastq_seqcount", "WITH f AS (SELECT source, sum(length(text) - length(replace(text, chr(10), '')) + 1) // 4 AS n FROM documents GROUP BY source) SELECT CAST(floor(avg(n)) AS BIGINT) AS mean, CAST(min(n) AS BIGINT) AS least, CAST(max(n) AS BIGINT) AS most FROM f")
+def _seqcount(spark, d):
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    per = table(spark, d, "documents").groupBy("source").agg(F.floor(F.sum(lines) / 4).alias("n"))
+    return per.agg(F.floor(F.avg("n")).alias("mean"), F.min("n").alias("least"), F.max("n").alias("most"))
+
+
+@query("csv_mean", "SELECT l_linenumber AS row, l_suppkey % 7 AS col, printf('%.4f', avg(CAST(l_quantity AS BIGINT))) AS mean FROM lineitem GROUP BY ALL")
+def _csv_mean(spark, d):
+    cells = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("row"), (F.col("l_suppkey") % 7).alias("col"))
+    return cells.agg(F.format_string("%.4f", F.avg(F.col("l_quantity").cast("long"))).alias("mean"))
+
+
+@query("cluster_sizes", "SELECT l_partkey AS cluster, CAST(sum(l_linenumber) AS BIGINT) AS size, min(l_orderkey) AS name, max(l_orderkey) AS seq FROM lineitem GROUP BY 1 HAVING sum(l_linenumber) >= 100")
+def _cluster_sizes(spark, d):
+    members = table(spark, d, "lineitem").select(F.col("l_partkey").alias("cluster"), F.col("l_orderkey").alias("ord"), F.col("l_orderkey").alias("name"), F.col("l_linenumber").alias("size"), F.col("l_orderkey").alias("seq"))
+    return annotate.cluster_sizes(members, 100)
+
+
+@query("gowinda_sets", """WITH e AS (SELECT p_partkey AS ord, p_brand || '_' || p_partkey AS gene, unnest(['GO:' || p_size % 9, 'GO:' || (p_size + 3) % 9]) AS go_id FROM part WHERE p_partkey < 300)
+SELECT go_id, 'term ' || substr(go_id, 4) AS description, string_agg(gene, ' ' ORDER BY ord) AS genes FROM e GROUP BY go_id""")
+def _terms(spark, d):
+    part = lambda n: F.concat(F.lit("term "), n, F.lit(" [GO:"), n, F.lit("]"))
+    said = F.concat(part((F.col("p_size") % 9).cast("string")), F.lit("; "), part(((F.col("p_size") + 3) % 9).cast("string")))
+    genes = table(spark, d, "part").where("p_partkey < 300").select(F.col("p_partkey").alias("ord"), F.concat_ws("_", "p_brand", "p_partkey").alias("gene"), said.alias("said"))
+    return annotate.terms(genes)
+
+
+@query("k_from_filename", "SELECT p_partkey, CAST(p_size AS VARCHAR) AS k FROM part")
+def _k_of(spark, d):
+    names = F.concat(F.lit("out/clumpp_K"), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 2 == 0, "_a.csv").otherwise(".csv"))
+    return table(spark, d, "part").select("p_partkey", F.regexp_extract(names, r"clumpp_K([^_.]*)[_.]", 1).alias("k"))
+
+
+# ---- sequences --------------------------------------------------------------------------------
+
+
+@query("reverse_complement", LOCI + "SELECT locus, seq_ord, translate(reverse(seq), 'ATGCYRSWMKN', 'TACGRYSWKMN') AS seq FROM loci")
+def _revcomp(spark, d):
+    return loci(spark, d).select("locus", "seq_ord", sq.reverse_complement(F.col("seq")).alias("seq"))
+
+
+CONSENSUS = LOCI + """, b AS (SELECT locus, sample AS grp, i AS place, substr(seq, CAST(i AS INTEGER), 1) AS base FROM loci, range(1, 41) t(i) WHERE i <= length(seq)),
+k AS (SELECT locus, grp, place, CASE WHEN min(base) = max(base) THEN min(base) ELSE 'N' END AS base FROM b GROUP BY ALL), cs AS (SELECT locus, grp, string_agg(base, '' ORDER BY place) AS seq FROM k GROUP BY ALL)
+"""
+
+
+def consensus(spark, d):
+    return sequences.consensus(loci(spark, d).withColumnRenamed("sample", "grp"))
+
+
+@query("consensus_seq", CONSENSUS + "SELECT * FROM cs")
+def _consensus(spark, d):
+    return consensus(spark, d)
+
+
+@query("caps_sites", CONSENSUS + """, en AS (SELECT * FROM (VALUES ('E1', 'GT'), ('E2', 'CGA'), ('E3', 'TAC')) v(enzyme, site)), tw AS (SELECT a.locus, a.seq AS seq1, b.seq AS seq2 FROM cs a JOIN cs b ON a.locus = b.locus WHERE a.grp = 'assistant' AND b.grp = 'user')
+SELECT DISTINCT locus, enzyme, i AS "at" FROM tw CROSS JOIN en, range(1, 41) t(i) WHERE (substr(seq1, CAST(i AS INTEGER), length(site)) = site OR substr(seq2, CAST(i AS INTEGER), length(site)) = site)
+ AND substr(seq1, CAST(i AS INTEGER), length(site)) <> substr(seq2, CAST(i AS INTEGER), length(site)) AND NOT contains(substr(seq1, CAST(i AS INTEGER), length(site)), 'N') AND NOT contains(substr(seq2, CAST(i AS INTEGER), length(site)), 'N')""")
+def _caps(spark, d):
+    """Sites of enzymes whose sites cannot overlap themselves, so all occurrences are non-overlapping ones."""
+    both = consensus(spark, d)
+    two = both.where("grp = 'assistant'").select("locus", F.col("seq").alias("seq1")).join(both.where("grp = 'user'").select("locus", F.col("seq").alias("seq2")), "locus")
+    enzymes = spark.createDataFrame([("E1", "GT"), ("E2", "CGA"), ("E3", "TAC")], "enzyme string, site string")
+    return sequences.caps_sites(two, enzymes)
+
+
+@query("pyrad2fasta", LOCI + "SELECT locus, arg_min(sample, seq_ord) AS sample, arg_min(seq, seq_ord) AS seq FROM loci GROUP BY locus")
+def _first_seq(spark, d):
+    return sequences.first_sequences(loci(spark, d))
+
+
+@query("longest_seq", LOCI + """, o AS (SELECT locus, seq, row_number() OVER (PARTITION BY locus ORDER BY seq_ord) AS n FROM (SELECT locus, seq_ord, replace(seq, 'GG', '--') AS seq FROM loci)),
+f AS (SELECT locus, n, seq AS best FROM o WHERE n = 1 UNION ALL SELECT o.locus, o.n, CASE WHEN length(o.seq) >= length(best) AND length(o.seq) - length(replace(o.seq, '-', '')) < length(best) - length(replace(best, '-', '')) THEN o.seq ELSE best END FROM f JOIN o ON o.locus = f.locus AND o.n = f.n + 1)
+SELECT locus, arg_max(best, n) AS seq FROM f GROUP BY locus""")
+def _longest(spark, d):
+    return sequences.longest_sequences(loci(spark, d).withColumn("seq", F.replace("seq", F.lit("GG"), F.lit("--"))))
+
+
+@query("first_ref_sample_seq", LOCI + "SELECT locus, arg_min(seq, seq_ord) AS seq FROM loci WHERE sample = 'assistant' GROUP BY locus")
+def _ref_seq(spark, d):
+    return sequences.reference_sequences(loci(spark, d), F.col("sample") == "assistant")
+
+
+@query("ref_else_last_seq", LOCI + "SELECT locus, coalesce(arg_min(seq, seq_ord) FILTER (sample = 'system'), arg_max(seq, seq_ord)) AS seq FROM loci GROUP BY locus")
+def _ref_or_last(spark, d):
+    return sequences.reference_sequences(loci(spark, d), F.col("sample") == "system", else_last=True)
+
+
+@query("concat_fasta", LOCI + """, t AS (SELECT * FROM loci WHERE locus % 10 = 0), w AS (SELECT locus, length(arg_min(seq, seq_ord)) AS width FROM t GROUP BY locus), o AS (SELECT locus, sample, arg_min(seq, seq_ord) AS seq FROM t GROUP BY ALL)
+SELECT p.sample, CAST(count(o.seq) AS BIGINT) AS n_seqs, string_agg(coalesce(o.seq, repeat('N', CAST(width AS INTEGER))), '' ORDER BY w.locus) AS seq FROM w CROSS JOIN (SELECT DISTINCT sample FROM t) p LEFT JOIN o ON o.locus = w.locus AND o.sample = p.sample GROUP BY p.sample""")
+def _concat(spark, d):
+    return sequences.concatenated(loci(spark, d).where("locus % 10 = 0"))
+
+
+@query("loci_trim", LOCI + "SELECT locus, seq_ord, sample, substr(seq, 1, 15) AS seq FROM loci")
+def _trim(spark, d):
+    return sequences.trimmed(loci(spark, d), 15)
+
+
+@query("locus_lengths", LOCI + "SELECT locus, CAST(coalesce(arg_max(length(seq), seq_ord) FILTER (sample = 'assistant'), 0) AS BIGINT) AS length FROM loci GROUP BY locus")
+def _lengths(spark, d):
+    return sequences.locus_lengths(loci(spark, d), F.col("sample") == "assistant")
+
+
+@query("migrate_counts", LOCI + "SELECT sample AS pop, locus, count(*) AS n FROM loci GROUP BY ALL")
+def _migrate(spark, d):
+    return loci(spark, d).groupBy(F.col("sample").alias("pop"), "locus").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("pyrad_filter", LOCI + "SELECT locus, count(*) AS n_seqs FROM loci WHERE locus % 3 <> 0 GROUP BY locus HAVING count(*) >= 4")
+def _pyrad_filter(spark, d):
+    ids = table(spark, d, "conversations").where("conv_id % 3 = 0").select(F.col("conv_id").alias("locus"))
+    return sequences.filter_loci(loci(spark, d), ids, keep=False, least_seqs=4)
+
+
+@query("pyrad_include", LOCI + ", k AS (SELECT * FROM loci WHERE sample = 'user') SELECT locus, seq_ord, sample, seq FROM k WHERE locus IN (SELECT locus FROM k GROUP BY locus HAVING count(*) >= 2)")
+def _pyrad_include(spark, d):
+    listed = spark.createDataFrame([("user",)], "sample string")
+    return lists.include_with_least(loci(spark, d), listed, "sample", "locus", 2).select("locus", "seq_ord", "sample", "seq")
+
+
+@query("crossref_pos", LOCI + "SELECT locus, seq_ord, 5 - (length(substr(replace(seq, 'GG', '--'), 1, 5)) - length(replace(substr(replace(seq, 'GG', '--'), 1, 5), '-', ''))) - 1 AS at FROM loci WHERE length(seq) >= 6")
+def _crossref(spark, d):
+    gapped = loci(spark, d).where("length(seq) >= 6").withColumn("seq", F.replace("seq", F.lit("GG"), F.lit("--")))
+    before = F.substring("seq", 1, 5)
+    return gapped.select("locus", "seq_ord", (5 - (F.length(before) - F.length(sq.without_gaps(before))) - 1).cast("long").alias("at"))
+
+
+@query("verify_alleles", LOCI + "SELECT locus, seq_ord, substr(seq, 3, 1) IN ('A', 'G') AS fits FROM loci WHERE length(seq) >= 3")
+def _verify(spark, d):
+    base = F.substring("seq", 3, 1)
+    fits = F.forall(F.split(sq.expand(base), "(?!^)(?!$)"), lambda x: x.isin("A", "G"))
+    return loci(spark, d).where("length(seq) >= 3").select("locus", "seq_ord", fits.alias("fits"))
+
+
+@query("session_blocks", "WITH l AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts > lag(ts) OVER w + INTERVAL 2 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS s FROM l) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last, count(*) AS n FROM b GROUP BY user_id, s")
+def _sessions(spark, d):
+    """Blocks of events over time: a session window with the gap as block distance."""
+    per = table(spark, d, "events").groupBy("user_id", F.session_window("ts", "2 hours")).agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count(F.lit(1)).alias("n"))
+    return per.select("user_id", F.date_format("a", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("first"), F.date_format("b", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last"), "n")
