@@ -12,9 +12,12 @@ first half keys recurs costs ``m`` rows.  Documents with the same shingle set ar
 class from the start.  In each table bucket every member is compared with the
 bucket's least member, first only with the least of all its buckets, then with the
 others from which it is still separate; last, members of one bucket that are neither
-in one component nor compared yet are compared with each other.  So any two that
-share a bucket end in one component or have been compared on full sets, while a
-bucket of n like texts costs n comparisons.
+in one component nor compared yet are paired where a bound on their sets' difference
+allows a link, and compared.  The bound is exact: a set's shingles are folded into
+``SKETCH`` parity bits, and the bits in which two sketches differ cannot outnumber the
+shingles in which the sets differ.  So any two that share a bucket end in one component,
+or have been compared on full sets, or cannot be linked, while a bucket of n like texts
+costs n comparisons and texts that merely share a passage make no pairs.
 
 Defined results: words are cut at the ASCII blanks; fewer words than a shingle make
 the whole sequence the only one; null, empty and blank texts have the empty set and
@@ -26,10 +29,11 @@ are ignored; whole texts are read, of any length.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordTable, discard, materialize, text_slices
@@ -39,6 +43,8 @@ WORDS = 5
 #: Links need 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 75
 HALF_KEYS, HALF_SIZE = 14, 3
+#: 64-bit words of a set's parity sketch.
+SKETCH = 32
 
 _worker: dict = {}
 _MASK = (1 << 64) - 1
@@ -97,8 +103,22 @@ def half_keys(shingles: np.ndarray, m: int = HALF_KEYS, k: int = HALF_SIZE) -> n
     return key
 
 
+def parity_sketch(shingles: np.ndarray) -> np.ndarray:
+    """The set folded into ``64 * SKETCH`` bits, each the parity of the shingles that fall on it."""
+    bits = np.bincount((shingles % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH).astype(np.uint8) & 1
+    return np.packbits(bits, bitorder="little").view("<i8")
+
+
+def may_link(threshold: int) -> Column:
+    """Whether the sketches and sizes of the sides ``x`` and ``y`` of a join allow a link: with difference ``d`` it needs
+    ``d * (100 + threshold) <= (|x| + |y|) * (100 - threshold)``, and the sketches' difference is at most ``d``."""
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(SKETCH)])
+    return differ * (100 + threshold) <= (F.col("x.n_shingles") + F.col("y.n_shingles")) * (100 - threshold)
+
+
 def signatures(docs: DataFrame, *, words: int = WORDS, m: int = HALF_KEYS, k: int = HALF_SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_shingles, set1, set2, first, second)``: a 128-bit digest of the set and both half-key collections."""
+    """``(doc_id, n_shingles, set1, set2, first, second, sketch)``: a 128-bit digest of the set, both half-key collections and
+    the parity sketch."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,13 +127,14 @@ def signatures(docs: DataFrame, *, words: int = WORDS, m: int = HALF_KEYS, k: in
             keys = [half_keys(s, m, k).view(np.int64) if len(s) else None for s in sets]
             digest = np.array([[_mix(s).sum(dtype=np.uint64), _mix(s + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64)] for s in sets], np.uint64).view(np.int64)
             lists = [pa.array([None if x is None else x[part] for x in keys], pa.list_(pa.int64())) for part in (slice(0, m), slice(m, None))]
+            sketches = pa.array([parity_sketch(s) if len(s) else None for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), *lists],
-                names=["doc_id", "n_shingles", "set1", "set2", "first", "second"],
+                [rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), *lists, sketches],
+                names=["doc_id", "n_shingles", "set1", "set2", "first", "second", "sketch"],
             )
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {id_type}, n_shingles long, set1 long, set2 long, first array<long>, second array<long>")
+    return rows.mapInArrow(run, f"doc_id {id_type}, n_shingles long, set1 long, set2 long, first array<long>, second array<long>, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, *, words: int = WORDS) -> DataFrame:
@@ -180,9 +201,11 @@ def minhash_components(docs: DataFrame, *, words: int = WORDS, threshold: int =
     labelled = members.select("key", "doc_id", "n_shingles").join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
     labelled = materialize(labelled, "labelled")
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi AND n > 2").select("key")
-    rest = labelled.join(mixed, "key", "left_semi")
-    other = rest.select("key", F.col("doc_id").alias("b"), F.col("comp").alias("comp_b"), F.col("n_shingles").alias("n_rep"))
-    pairs = rest.join(other, "key").where("doc_id < b AND comp <> comp_b").where(fits).select(F.col("doc_id").alias("a"), "b").distinct()
+    bits = reps.select("doc_id", *[F.element_at("sketch", i + 1).alias(f"s{i}") for i in range(SKETCH)])
+    rest = labelled.join(mixed, "key", "left_semi").join(bits, "doc_id")
+    x, y = rest.alias("x"), rest.alias("y")
+    apart_yet = (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.comp") != F.col("y.comp"))
+    pairs = x.join(y, apart_yet & may_link(threshold)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
     links3 = materialize(confirm(pairs.join(stars, ["a", "b"], "left_anti"), sets, threshold), "links").select("a", "b")
     if not links3.isEmpty():
         comps = connected_components(links.union(links3))
