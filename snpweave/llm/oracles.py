@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from .licenses import PHRASES, TEMPLATES, THRESHOLD, WORD, need
+from .secrets import BASE_RULES, EXTRA_RULES, Rule
+
 LOWER_AZ = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP8 = f"""
@@ -23,5 +26,56 @@ FROM p
 """
 
 
+def _any_case(pattern: str) -> str:
+    """``(?i:...)`` spelt out for A-Z, since DuckDB's own folding also takes other letters."""
+    head, _, rest = pattern.partition("(?i:")
+    if not rest:
+        return pattern
+    depth, at = 1, 0
+    while depth:
+        depth += {"(": 1, ")": -1}.get(rest[at], 0)
+        at += 1
+    inner = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in rest[: at - 1])
+    return f"{head}(?:{inner}){rest[at:]}"
+
+
+def _spans(n: int, rule: Rule) -> str:
+    pattern = _any_case(rule.pattern).replace("'", "''")
+    return f"""SELECT doc_id, {n} AS n, '{rule.kind}' AS kind, regexp_split_to_array(x, '{pattern}') AS gaps, regexp_extract_all(x, '{pattern}', 0) AS hits,
+  regexp_extract_all(x, '{pattern}', {rule.group}) AS kept, {rule.least} AS least FROM t"""
+
+
+OP4 = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+m AS ({" UNION ALL ".join(_spans(n, r) for n, r in enumerate(BASE_RULES + EXTRA_RULES))}),
+e AS (SELECT doc_id, n, kind, hits[i] AS hit, kept[i] AS kept, least,
+  CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) AS BIGINT) AS start FROM m, unnest(range(1, len(hits) + 1)) u(i)),
+f AS (SELECT doc_id, n, kind, start, kind || ':' || start || ':' || start + length(hit) AS said FROM e WHERE length(kept) >= least),
+a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(said, ',' ORDER BY start, n) FILTER (n < {len(BASE_RULES)}) AS base, string_agg(said, ',' ORDER BY start, n) AS spans FROM f GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN a ON a.doc_id = t.doc_id
+"""
+
+_QUOTED = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+_PLACES = " UNION ALL ".join(
+    f"SELECT doc_id, '{label}' AS label, i FROM w, unnest(range(len(ws))) u(i) WHERE ws[i + 1] = '{p.split()[0]}' AND ws[i + 1:i + {len(p.split())}] = {_QUOTED(p.split())}" for p, label in PHRASES
+)
+_TEMPLATES = ", ".join(f"('{label}', {_QUOTED(sorted(set(text.split())))}, {need(len(set(text.split())), THRESHOLD)})" for label, text in TEMPLATES)
+
+OP9 = f"""
+WITH t AS (SELECT doc_id, {LOWER_AZ.format("text")} AS x FROM documents), w AS (SELECT doc_id, regexp_extract_all(x, '{WORD}') AS ws FROM t),
+p AS ({_PLACES}), b AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM p GROUP BY doc_id),
+l AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(x, chr(10))), '{WORD}')) AS block FROM t),
+c AS (SELECT doc_id, label, len(list_intersect(block, tw)) / len(tw) AS share FROM l, (VALUES {_TEMPLATES}) v(label, tw, least) WHERE len(list_intersect(block, tw)) >= least),
+y AS (SELECT doc_id, label FROM p UNION SELECT doc_id, label FROM c),
+bl AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT DISTINCT doc_id, label FROM p) GROUP BY doc_id),
+al AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM y GROUP BY doc_id), best AS (SELECT doc_id, max(share) AS best FROM c GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(bl.labels, '') AS base_labels, coalesce(al.labels, '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0)::DOUBLE END AS score
+FROM w LEFT JOIN b ON b.doc_id = w.doc_id LEFT JOIN bl ON bl.doc_id = w.doc_id LEFT JOIN al ON al.doc_id = w.doc_id LEFT JOIN best ON best.doc_id = w.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_urls": OP7, "op8_exact_dedup": OP8}
+    return {"op4_secrets": OP4, "op7_urls": OP7, "op8_exact_dedup": OP8, "op9_licenses": OP9}
