@@ -114,6 +114,18 @@ def sample_labelled(docs: DataFrame, known: DataFrame, per_label: int, seed: int
     return docs.join(small, "doc_id").select("doc_id", "label", "text", *(extra or [])).orderBy("doc_id").collect()
 
 
+_state: dict = {}
+
+
+def worker_state(owner: str, key: object, make) -> dict:
+    """What an operator keeps in a Python worker: made anew when ``key`` changes, and dropped when another operator
+    runs in the worker (Spark reuses workers), so that the memory of several operators never adds up."""
+    if _state.get("owner") != owner or _state.get("key") is not key:
+        _state.clear()
+        _state.update(owner=owner, key=key, value=make())
+    return _state["value"]
+
+
 class WordTable:
     """Ids of words, given in order of first sight, with values worked out once a word.
 

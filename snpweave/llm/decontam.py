@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, discard, materialize, text_slices
+from .common import WordTable, discard, materialize, text_slices, worker_state
 
 N, SPAN = 3, 4
 #: A gram is rare if no more than this share of the documents, or this number, hold it.
@@ -39,9 +39,6 @@ MATCH, COST = 2, 1
 #: Characters of benchmark text in one block; a block is what is sent to the executors.
 BLOCK_CHARS = 8_000_000
 
-_worker: dict = {}
-
-
 def normal_word(word: str) -> str:
     return "".join(filter(str.isalnum, word.lower()))
 
@@ -149,11 +146,10 @@ def _find_windows(docs: DataFrame, block, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b: Block = block.value
-        if _worker.get("block") is not b:
-            numbers = lambda words: np.fromiter((b.vocabulary.get(x, -1) if (x := normal_word(w)) else -2 for w in words), np.int64, len(words))
-            _worker.update(block=b, words=WordTable(numbers))
-        table, reach = _worker["words"], 2 * b.longest + n
+        numbers = lambda words: np.fromiter((b.vocabulary.get(x, -1) if (x := normal_word(w)) else -2 for w in words), np.int64, len(words))
+        reach = 2 * b.longest + n
         for rows, texts in text_slices(batches, "text"):
+            table = worker_state("decontam", b, lambda: WordTable(numbers))
             cut = [(t or "").split() for t in texts]
             ids = table.rows([w for ws in cut for w in ws])
             values = table.values[ids] if len(ids) else np.empty(0, np.int64)

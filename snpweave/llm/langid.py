@@ -22,6 +22,7 @@ gives no rows; extra columns are ignored; whole texts are read, of any length.
 from __future__ import annotations
 
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, held_out, sample_labelled, text_slices
+from .common import WordTable, held_out, sample_labelled, text_slices, worker_state
 
 UNKNOWN = "und"
 #: Documents of each language to learn from at most, languages at most (the most frequent), features kept.
@@ -43,49 +44,75 @@ SEQUENCES, LENGTH, STRETCH, EPOCHS, RATE, DECAY = 2400, 60, 15, 4, 0.3, 1e-6
 SEGMENT = 64
 SEED = 3
 
+#: Characters of text in one step of a worker.
+STEP_CHARS = 1_500_000
+
 _LETTER = re.compile(r"[^\W\d_]")
-_worker: dict = {}
+_SIGNS = string.punctuation + "¿¡«»„“”‚‘’…–—"
+_ODD = [np.uint64((0x9E3779B97F4A7C15 * (2 * j + 1)) & 0xFFFFFFFFFFFFFFFF) for j in range(5)]
 
 
 def plain(word: str) -> str:
     """The word in lower case without signs at its ends."""
-    w = word.lower()
-    return w if w.isalpha() else w.strip("".join(c for c in set(w) if not c.isalnum()))
-
-
-def features(word: str) -> list[str]:
-    """Affixes, n-grams and the word itself, each marked by its kind; none for a word without letters."""
-    w = plain(word)
-    if not _LETTER.search(w):
-        return []
-    framed = f"<{w}>"
-    affixes = [kind + part for n in (2, 3) if len(w) > n for kind, part in (("^", w[:n]), ("$", w[-n:]))]
-    return [*affixes, *(framed[i : i + 2] for i in range(len(framed) - 1)), *(framed[i : i + 3] for i in range(len(framed) - 2)), "=" + w]
+    return word.lower().strip(_SIGNS)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``(code, word)`` of the features of plain words: letter pairs and triples of the word between two marks (those at the
+    marks are its first and last letters), its first and last three letters, and the word itself, each as a 64-bit hash."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    chars = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    first = np.cumsum(sizes) - sizes
+    at = np.arange(len(chars)) - first[owner]
+    codes, owners = [], []
+    for n in (2, 3, 4):
+        start = np.arange(max(0, len(chars) - n + 1))
+        start = start[at[start] + n <= sizes[owner[start]]]
+        if n == 4:
+            start = start[(at[start] == 0) | (at[start] + n == sizes[owner[start]])]
+        codes.append(_mix(sum((chars[start + j] * _ODD[j] for j in range(n)), np.uint64(n))))
+        owners.append(owner[start])
+    whole = np.add.reduceat(_mix(chars + at.astype(np.uint64) * _ODD[4]), first) if len(words) else np.empty(0, np.uint64)
+    return np.concatenate([*codes, _mix(whole)]), np.concatenate([*owners, np.arange(len(words))])
 
 
 class Crf:
-    """Feature weights, transitions and start weights; what is sent to the executors."""
+    """Feature weights, transitions and start weights; what is sent to the executors.
+
+    ``known`` are the sorted codes of the features that have weights; ``lexicon`` gives a frequent word's languages.
+    """
 
-    def __init__(self, languages: list[str], index: dict[str, int], lexicon: dict[str, list[int]]):
+    def __init__(self, languages: list[str], known: np.ndarray, lexicon: dict[str, list[int]]):
         k = len(languages)
-        self.languages, self.index, self.lexicon = languages, index, lexicon
-        self.weights = np.zeros((len(index) + k, k))  # the last k rows: a lexicon each
+        self.languages, self.known, self.lexicon = languages, known, lexicon
+        self.weights = np.zeros((len(known) + k, k))  # the last k rows: a lexicon each
         self.transitions, self.start = np.zeros((k, k)), np.zeros(k)
 
-    def rows(self, word: str) -> list[int]:
-        get = self.index.get
-        found = [i for f in features(word) if (i := get(f)) is not None]
-        return found + [len(self.index) + q for q in self.lexicon.get(plain(word), ())]
+    def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``(row, word)``: the weight rows of each word's features; none for words without letters."""
+        with_letters = [i for i, w in enumerate(words) if _LETTER.search(w)]
+        bare = [plain(words[i]) for i in with_letters]
+        codes, owner = features(bare)
+        place = np.minimum(np.searchsorted(self.known, codes), max(0, len(self.known) - 1))
+        met = np.flatnonzero(self.known[place] == codes) if len(self.known) else np.empty(0, np.int64)
+        lexical = [(len(self.known) + q, i) for i, w in enumerate(bare) if w in self.lexicon for q in self.lexicon[w]]
+        row = np.r_[place[met], np.array([r for r, _ in lexical], np.int64)]
+        return row, np.array(with_letters, np.int64)[np.r_[owner[met], np.array([i for _, i in lexical], np.int64)]]
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """``(word, language)`` scores, and in a last column whether the word has a letter."""
-        rows = [self.rows(w) for w in words]
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
         out = np.zeros((len(words), len(self.languages) + 1), np.float32)
-        filled = np.flatnonzero(sizes)
-        if len(filled):
-            flat = np.fromiter((i for r in rows for i in r), np.int64, int(sizes.sum()))
-            out[filled, :-1] = np.add.reduceat(self.weights[flat], (np.cumsum(sizes) - sizes)[filled])
+        for at in range(0, len(words), 20_000):
+            some = words[at : at + 20_000]
+            row, word = self.rows(some)
+            for q in range(len(self.languages)):
+                out[at : at + len(some), q] = np.bincount(word, self.weights[row, q], len(some))
         out[:, -1] = [bool(_LETTER.search(w)) for w in words]
         return out
 
@@ -115,7 +142,9 @@ class Crf:
     def train(self, words: list[str], ids: np.ndarray, labels: np.ndarray) -> None:
         """``ids`` and ``labels`` are ``(time, sequence)``; ids number ``words``."""
         rng = np.random.default_rng(SEED)
-        rows = [np.array(self.rows(w), np.int64) for w in words]
+        row, word = self.rows(words)
+        order = np.argsort(word, kind="stable")
+        rows = np.split(row[order], np.cumsum(np.bincount(word, minlength=len(words)))[:-1])
         k, n = len(self.languages), ids.shape[1]
         g2 = [np.full_like(x, 1e-8) for x in (self.weights, self.transitions, self.start)]
         for _ in range(EPOCHS):
@@ -224,18 +253,18 @@ def fit(rows: list[tuple[str, str | None]]) -> Crf | None:
     if not texts:
         return None
     languages = sorted({lang for lang, _ in texts})
-    held = Counter()
-    of_lang = {lang: Counter() for lang in languages}
+    seen, of_lang = [], {lang: Counter() for lang in languages}
     for lang, words in texts:
-        distinct = set(words)
-        held.update({f for w in distinct for f in features(w)})
-        of_lang[lang].update({plain(w) for w in distinct})
-    index = {f: i for i, (f, n) in enumerate(sorted(held.items(), key=lambda x: (-x[1], x[0]))[:FEATURES]) if n > 1}
+        distinct = sorted({plain(w) for w in words if _LETTER.search(w)})
+        seen.append(np.unique(features(distinct)[0]))
+        of_lang[lang].update(distinct)
+    codes, texts_with = np.unique(np.concatenate(seen), return_counts=True)
+    codes = codes[np.lexsort((codes, -texts_with))][: min(FEATURES, int((texts_with > 1).sum()))]
     lexicon: dict[str, list[int]] = {}
     for q, lang in enumerate(languages):
         for w, _ in sorted(of_lang[lang].items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
             lexicon.setdefault(w, []).append(q)
-    model = Crf(languages, index, lexicon)
+    model = Crf(languages, np.sort(codes), lexicon)
     model.train(*splice([(words, languages.index(lang)) for lang, words in texts]))
     model.weights = model.weights.astype(np.float32)
     return model
@@ -256,7 +285,7 @@ def keep_languages(docs: DataFrame, model: Crf | None, *, least: float, id_col:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_slices((b.rename_columns([str(i) for i in range(b.num_columns)]) for b in batches), str(at)):
+        for part, texts in text_slices((b.rename_columns([str(i) for i in range(b.num_columns)]) for b in batches), str(at), STEP_CHARS):
             lang, score, _ = label_texts(sent.value, texts)
             keep = [x != UNKNOWN and y >= least for x, y in zip(lang, score.tolist(), strict=True)]
             yield part.filter(pa.array(keep, pa.bool_())).rename_columns(schema.names)
@@ -271,10 +300,9 @@ def label_texts(model: Crf | None, texts: list[str | None], spans: bool = False)
     lang, score, runs = [UNKNOWN] * len(cut), np.zeros(len(cut)), [[] for _ in cut]
     if not sizes.sum():
         return lang, score, runs
-    if _worker.get("model") is not model:
-        _worker.update(model=model, words=WordTable(model.emissions))
-    ids = _worker["words"].rows([w for ws in cut for w in ws])
-    e = _worker["words"].values[ids]
+    table = worker_state("langid", model, lambda: WordTable(model.emissions))
+    ids = table.rows([w for ws in cut for w in ws])
+    e = table.values[ids]
     p = model.marginals(e[:, :-1].astype(np.float64), sizes)
     filled = np.flatnonzero(sizes)
     starts = (np.cumsum(sizes) - sizes)[filled]
@@ -301,7 +329,7 @@ def tag_languages(docs: DataFrame, model: Crf | None, *, spans: bool = False, id
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_slices(batches, "text"):
+        for part, texts in text_slices(batches, "text", STEP_CHARS):
             lang, score, runs = label_texts(sent.value, texts, spans)
             columns, names = [part.column(0), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"]
             if spans:

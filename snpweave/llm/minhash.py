@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, discard, materialize, text_slices
+from .common import WordTable, discard, materialize, text_slices, worker_state
 from .components import connected_components
 
 WORDS = 5
@@ -46,7 +46,6 @@ HALF_KEYS, HALF_SIZE = 14, 3
 #: 64-bit words of a set's parity sketch.
 SKETCH = 32
 
-_worker: dict = {}
 _MASK = (1 << 64) - 1
 
 
@@ -65,7 +64,7 @@ def _hash_words(words: list[bytes]) -> np.ndarray:
 
 def shingle_sets(texts: list[bytes | None], words: int = WORDS) -> list[np.ndarray]:
     """Each text's sorted distinct shingle hashes (64 bits), A-Z lower-cased, words cut at ASCII blanks."""
-    table = _worker.setdefault("words", WordTable(_hash_words))
+    table = worker_state("minhash", None, lambda: WordTable(_hash_words))
     cut = [(t or b"").lower().split() for t in texts]
     ids = table.rows([w for ws in cut for w in ws])
     hashes = table.values[ids] if len(ids) else np.empty(0, np.uint64)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_slices
+from .common import materialize, text_slices, worker_state
 
 #: Words kept with their ids in one worker (about 100 MB).
 CACHE_WORDS = 500_000
@@ -39,9 +39,6 @@ WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
 
-_worker: dict = {}
-
-
 def byte_letters() -> dict[int, str]:
     """The characters that byte-level vocabularies write bytes with, for the Latin-1 letters as they stand in UTF-8."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -106,9 +103,7 @@ class WordEncoder:
 
 def encoder(blob: str) -> WordEncoder:
     """This worker's encoder; Spark reuses workers, so the vocabulary is parsed once a worker."""
-    if _worker.get("blob") != blob:
-        _worker.update(blob=blob, encoder=WordEncoder(blob))
-    return _worker["encoder"]
+    return worker_state("packing", blob, lambda: WordEncoder(blob))
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
