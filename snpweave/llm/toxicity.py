@@ -25,6 +25,7 @@ extra columns are ignored; whole texts are read, of any length.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, held_out, sample_labelled, text_slices
+from .common import WordTable, held_out, sample_labelled, text_slices, worker_state
 
 #: Hash buckets, embedding size, filters of each width, widths.
 BUCKETS, EMBED, FILTERS, WIDTHS = 1 << 20, 12, 12, (1, 2, 3)
@@ -43,11 +44,10 @@ PARTS = 1 + len(BEGINNINGS)
 MIN_TEXTS = 6
 #: Labelled texts of each class to train on at most, words of a text to train on at a time, passes, learning rate.
 SAMPLE, CROP, EPOCHS, RATE = 1500, 400, 14, 0.02
+#: Padded words in a training batch.
+BATCH_WORDS = 24_000
 SEED = 5
 
-_worker: dict = {}
-
-
 def pieces(words: list[str]) -> np.ndarray:
     """``(word, PARTS)`` hash buckets, letters and digits alone in lower case: the word, and each longer word's beginning of
     4 to 8 letters; -1 where there is none."""
@@ -84,7 +84,7 @@ class ConvText:
     # -- training: sequences padded with bucket -1 -------------------------------------------------
     def _forward(self, ids: np.ndarray):
         real = ids[..., 0] >= 0
-        e = self.embed[np.maximum(ids, 0)].sum(axis=2)
+        e = reduce(np.add, (self.embed[np.maximum(ids[..., k], 0)] for k in range(PARTS)))
         pooled, kept = [], []
         for w, f, b in zip(WIDTHS, self.filters, self.bias, strict=True):
             n = ids.shape[1] - w + 1
@@ -94,7 +94,21 @@ class ConvText:
             pooled.append(np.take_along_axis(r, at[:, None], 1)[:, 0])
             kept.append(at)
         p = np.hstack(pooled)
-        return e, p, kept, 1 / (1 + np.exp(-(p @ self.out + self.out_bias)))
+        return e, p, kept, 1 / (1 + np.exp(-np.clip(p @ self.out + self.out_bias, -60, 60)))
+
+    @staticmethod
+    def batches(order: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+        """Batches of at most 32 texts of like length, and of bounded padded size; only a longer text alone exceeds it."""
+        out = []
+        for at in range(0, len(order), 512):
+            some = sorted(order[at : at + 512].tolist(), key=sizes.__getitem__)
+            while some:
+                n = 1
+                while n < min(32, len(some)) and (n + 1) * sizes[some[n]] <= BATCH_WORDS:
+                    n += 1
+                out.append(np.array(some[:n]))
+                some = some[n:]
+        return out
 
     def train(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE) -> None:
         """Adam over mini-batches; long texts give one passage a pass, chosen at random, and are seen whole over several."""
@@ -103,9 +117,7 @@ class ConvText:
         m, v, step = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params], 0
         weight = np.where(labels == 1, 0.5 / max(1e-9, labels.mean()), 0.5 / max(1e-9, 1 - labels.mean())).astype(np.float32)
         for _ in range(epochs):
-            order = rng.permutation(len(texts))
-            for s in range(0, len(order), 32):
-                pick = order[s : s + 32]
+            for pick in self.batches(rng.permutation(len(texts)), [len(t) for t in texts]):
                 ids = np.full((len(pick), max(WIDTHS) + max(len(texts[i]) for i in pick), PARTS), -1, np.int32)
                 for r, i in enumerate(pick):
                     ids[r, : len(texts[i])] = texts[i]
@@ -113,7 +125,7 @@ class ConvText:
                 g = (score - labels[pick]) * weight[pick] / len(pick)
                 grads = [np.zeros_like(x) for x in params[1:]]
                 grads[-1][:] = p.T @ g
-                ge: dict[int, np.ndarray] = {}
+                hit, value = [], []
                 for k, (w, f) in enumerate(zip(WIDTHS, self.filters, strict=True)):
                     gp = g[:, None] * self.out[k * FILTERS : (k + 1) * FILTERS] * (p[:, k * FILTERS : (k + 1) * FILTERS] > 0)
                     grads[len(WIDTHS) + k][:] = gp.sum(axis=0)
@@ -122,18 +134,18 @@ class ConvText:
                         x = np.take_along_axis(e, at[..., None], 1)  # batch, filter, embedding
                         grads[k][j] = np.einsum("bfe,bf->ef", x, gp)
                         back = gp[..., None] * f[j].T[None]
-                        for row, col, value in zip(np.repeat(np.arange(len(pick)), FILTERS), at.ravel(), back.reshape(-1, EMBED), strict=True):
-                            for b in ids[row, col].tolist():
-                                if b > 0:
-                                    ge[b] = ge[b] + value if b in ge else value.copy()
+                        hit.append(ids[np.arange(len(pick))[:, None], at].reshape(-1, PARTS))
+                        value.append(back.reshape(-1, EMBED))
                 step += 1
                 lr = rate * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
                 for q, grad in enumerate(grads, 1):
                     m[q] = 0.9 * m[q] + 0.1 * grad
                     v[q] = 0.999 * v[q] + 0.001 * grad * grad
                     params[q] -= (lr * m[q] / (np.sqrt(v[q]) + 1e-8)).astype(np.float32)
-                rows = np.fromiter(ge, np.int64, len(ge))
-                grad = np.array(list(ge.values()), np.float32).reshape(-1, EMBED)
+                flat, whose = np.concatenate(hit), np.nonzero(np.concatenate(hit).ravel() > 0)[0]
+                rows, slot = np.unique(flat.ravel()[whose], return_inverse=True)
+                grad = np.zeros((len(rows), EMBED), np.float32)
+                np.add.at(grad, slot, np.concatenate(value)[whose // PARTS])
                 m[0][rows] = 0.9 * m[0][rows] + 0.1 * grad
                 v[0][rows] = 0.999 * v[0][rows] + 0.001 * grad * grad
                 self.embed[rows] -= (lr * m[0][rows] / (np.sqrt(v[0][rows]) + 1e-8)).astype(np.float32)
@@ -248,10 +260,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, label_col: str = "tox
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        if _worker.get("model") is not m:
-            _worker.update(model=m, words=WordTable(m.terms))
         for part, texts in text_slices(batches, "text", 2_000_000):
-            scores = m.scores(texts, _worker["words"])
+            scores = m.scores(texts, worker_state("toxicity", m, lambda: WordTable(m.terms)))
             least = np.array([bounds.value.get(x, threshold) for x in part.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores), pa.array((scores >= least).astype(np.int32))], names=["doc_id", "score", "flagged"])
 
