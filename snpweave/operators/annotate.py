@@ -30,6 +30,16 @@ def chance_pop(sample: Column, pops: list[str], seed: int) -> Column:
     return F.element_at(F.array(*map(F.lit, sorted(pops))), (draw % len(pops) + 1).cast("int"))
 
 
+def parental_pairs(samples: DataFrame, first: Column, second: Column, n: int, seed: int) -> DataFrame:
+    """``(cross_id, par1, par2)``: the first ``n`` samples of both parents in an order by chance that the seed fixes."""
+    def drawn(side: Column, name: str) -> DataFrame:
+        order = F.md5(F.concat_ws(":", F.col("ind").cast("string"), F.lit(str(seed))))
+        top = samples.where(side).select("ind", order.alias("o")).orderBy("o", "ind").limit(n)  # n samples are what is asked for
+        return top.select(F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("o", "ind")).cast("long").alias("cross_id"), F.col("ind").alias(name))
+
+    return drawn(first, "par1").join(drawn(second, "par2"), "cross_id").select("cross_id", "par1", "par2")
+
+
 def crossed(g: DataFrame, pairs: DataFrame, seed: int) -> DataFrame:
     """``(cross_id, chrom, pos, call)``: for each pair of parents one allele of each by chance, sorted; ./. where one lacks the call."""
     first = pairs.join(g.select(F.col("ind").alias("par1"), "chrom", "pos", F.col("a1").alias("x1"), F.col("a2").alias("x2")), "par1")

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import genotype as gt
 from ..functions import sequence as sq
-from ..operators import annotate, blocks, convert, frequencies, graph, lists, pairwise, sequences
+from ..operators import annotate, blocks, convert, frequencies, graph, lists, pairwise, remap, sequences
+from ..sources.rename import human_size
 from .tables import SITES, genotypes, place, samples, sites, table, with_clones
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -801,3 +802,88 @@ def _sessions(spark, d):
     """Blocks of events over time: a session window with the gap as block distance."""
     per = table(spark, d, "events").groupBy("user_id", F.session_window("ts", "2 hours")).agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count(F.lit(1)).alias("n"))
     return per.select("user_id", F.date_format("a", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("first"), F.date_format("b", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last"), "n")
+
+
+# ---- records, sizes, crosses, genome places -----------------------------------------------------
+
+
+@query("fasta_include", LOCI + "SELECT locus, seq FROM (SELECT locus, arg_min(seq, seq_ord) AS seq FROM loci GROUP BY locus) WHERE locus IN (SELECT p_partkey * 3 FROM part)")
+def _fasta_include(spark, d):
+    listed = table(spark, d, "part").select((F.col("p_partkey") * 3).alias("locus"))
+    return lists.include(sequences.first_sequences(loci(spark, d)).select("locus", "seq"), listed, "locus")
+
+
+@query("fasta_exclude", LOCI + "SELECT locus, seq FROM (SELECT locus, arg_min(seq, seq_ord) AS seq FROM loci GROUP BY locus) WHERE locus NOT IN (SELECT p_partkey * 3 FROM part)")
+def _fasta_exclude(spark, d):
+    listed = table(spark, d, "part").select((F.col("p_partkey") * 3).alias("locus"))
+    return lists.exclude(sequences.first_sequences(loci(spark, d)).select("locus", "seq"), listed, "locus")
+
+
+@query("ipyrad_include", LOCI + ", k AS (SELECT * FROM loci WHERE sample IN ('user', 'assistant')) SELECT locus, count(*) AS n FROM k GROUP BY locus HAVING count(*) >= 5")
+def _ipyrad_include(spark, d):
+    listed = spark.createDataFrame([("user",), ("assistant",)], "sample string")
+    return lists.include_with_least(loci(spark, d), listed, "sample", "locus", 5).groupBy("locus").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("human_size", "SELECT o_orderkey, CASE WHEN n < 1024 THEN printf('%3.1fB', n) WHEN n < 1048576 THEN printf('%3.1fKiB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN printf('%3.1fMiB', n / 1048576.0::DOUBLE) ELSE printf('%3.1fGiB', n / 1073741824.0::DOUBLE) END AS size FROM (SELECT o_orderkey, CAST(o_orderkey * o_orderkey AS DOUBLE) AS n FROM orders)")
+def _human(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", human_size((F.col("o_orderkey") * F.col("o_orderkey")).cast("double")).alias("size"))
+
+
+@query("repavg_to_phred", "SELECT p_partkey, CASE WHEN p_size >= 50 THEN '100' WHEN p_size <= 5 THEN '0' ELSE printf('%.1f', -10 * log10(1 - p_size / 50.0::DOUBLE)) END AS qual FROM part")
+def _phred(spark, d):
+    average = F.when(F.col("p_size") <= 5, "0").otherwise((F.col("p_size") / 50.0).cast("string"))
+    return table(spark, d, "part").select("p_partkey", gt.phred(average).alias("qual"))
+
+
+@query("coord_jitter", "SELECT s_suppkey, s_acctbal + j AS lon, s_nationkey + j AS lat FROM (SELECT *, 0.1::DOUBLE + 0.9::DOUBLE * (CAST('0x' || substr(md5(CAST(s_suppkey AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE) AS j FROM supplier)")
+def _jitter(spark, d):
+    """One amount between a tenth of the width and the width, fixed by the sample, on both coordinates."""
+    share = F.conv(F.substring(F.md5(F.col("s_suppkey").cast("string")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+    moved = table(spark, d, "supplier").withColumn("j", F.lit(0.1) + F.lit(0.9) * share)
+    return moved.select("s_suppkey", (F.col("s_acctbal") + F.col("j")).alias("lon"), (F.col("s_nationkey") + F.col("j")).alias("lat"))
+
+
+@query("parental_pairing", G + """, a AS (SELECT ind, row_number() OVER (ORDER BY md5(ind || ':3'), ind) AS k FROM smp WHERE grp = 0), b AS (SELECT ind, row_number() OVER (ORDER BY md5(ind || ':3'), ind) AS k FROM smp WHERE grp = 1)
+SELECT a.k AS cross_id, a.ind AS par1, b.ind AS par2 FROM a JOIN b ON a.k = b.k WHERE a.k <= 8""")
+def _pairing(spark, d):
+    return annotate.parental_pairs(samples(spark, d), F.col("grp") == 0, F.col("grp") == 1, 8, 3)
+
+
+GENOME = LOCI + """, fa AS (SELECT locus AS chrom, replace(seq, 'GG', '--') AS seq, CASE WHEN locus % 2 = 0 THEN 0 ELSE 16 END AS flag FROM (SELECT locus, arg_min(seq, seq_ord) AS seq FROM loci GROUP BY locus) WHERE length(seq) = 40),
+si AS (SELECT chrom, p AS pos, flag, seq, CASE WHEN substr(seq, CAST(p AS INTEGER), 1) = '-' THEN 'A' ELSE substr(seq, CAST(p AS INTEGER), 1) END AS ref FROM fa, (SELECT unnest([4, 11, 18, 25, 32]) AS p)),
+sa AS (SELECT *, translate(ref, 'ACGT', 'CATG') AS alt FROM si),
+pl AS (SELECT *, CASE WHEN flag = 16 THEN 40 - pos - (length(substr(seq, CAST(pos + 1 AS INTEGER))) - length(replace(substr(seq, CAST(pos + 1 AS INTEGER)), '-', ''))) ELSE pos - 1 - (length(substr(seq, 1, CAST(pos - 1 AS INTEGER))) - length(replace(substr(seq, 1, CAST(pos - 1 AS INTEGER)), '-', ''))) END AS qpos FROM sa),
+gb AS (SELECT chrom, CAST(i AS BIGINT) AS qpos, 1000 * chrom + i AS rpos, substr('ACGT', CAST(1 + (chrom * 7 + i * i) % 4 AS INTEGER), 1) AS rbase FROM fa, range(40) t(i)),
+mt AS (SELECT pl.*, rpos, rbase, CASE WHEN flag = 16 THEN translate(ref, 'ACGT', 'TGCA') ELSE ref END AS r, CASE WHEN flag = 16 THEN translate(alt, 'ACGT', 'TGCA') ELSE alt END AS a FROM pl JOIN gb ON gb.chrom = pl.chrom AND gb.qpos = pl.qpos)
+SELECT chrom, CAST(pos AS BIGINT) AS pos, 'g' || chrom % 3 AS genome_chrom, rpos AS genome_pos, rbase AS genome_base, CASE WHEN rbase <> r AND rbase = a THEN a ELSE r END AS ref, CASE WHEN rbase <> r AND rbase = a THEN r ELSE a END AS alt,
+  CASE WHEN rbase = r THEN CASE WHEN flag = 16 THEN 'reverse' ELSE 'forward' END || '_same' WHEN rbase = a THEN CASE WHEN flag = 16 THEN 'reverse' ELSE 'forward' END || '_swapped' ELSE 'deleted' END AS "case" FROM mt
+"""
+
+
+@query("vcf_remap2genome", GENOME)
+def _genome(spark, d):
+    first = sequences.first_sequences(loci(spark, d)).where("length(seq) = 40")
+    fasta = first.select(F.col("locus").alias("name"), F.replace("seq", F.lit("GG"), F.lit("--")).alias("seq"))
+    base = F.substring("seq", F.col("pos").cast("int"), F.lit(1))
+    places = F.explode(F.array(*[F.lit(p).cast("long") for p in (4, 11, 18, 25, 32)]))
+    with_ref = fasta.select(F.col("name").alias("chrom"), "seq", places.alias("pos")).withColumn("ref", F.when(base == "-", "A").otherwise(base))
+    found = with_ref.select("chrom", "pos", "ref", F.translate("ref", "ACGT", "CATG").alias("alt"))
+    mapped = fasta.select(F.col("name").alias("qname"), F.when(F.col("name") % 2 == 0, 0).otherwise(16).alias("flag"))
+    i = F.col("i")
+    bases = fasta.select(F.col("name").alias("qname"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))).alias("i")).select(
+        "qname", i.alias("qpos"), F.concat(F.lit("g"), (F.col("qname") % 3).cast("string")).alias("genome_chrom"), (1000 * F.col("qname") + i).alias("rpos"), F.substring(F.lit("ACGT"), (1 + (F.col("qname") * 7 + i * i) % 4).cast("int"), F.lit(1)).alias("rbase")
+    )
+    return remap.remap_to_genome(found, fasta, mapped, bases)
+
+
+@query("gt_flip", "SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber % 4 WHEN 0 THEN '0/1:7' WHEN 1 THEN '1|1' WHEN 2 THEN './.' ELSE '0/0:3:x' END AS flipped FROM lineitem")
+def _flip(spark, d):
+    call = F.element_at(F.array(*map(F.lit, ("0/1:7", "0|0", "./.", "1/1:3:x"))), F.col("l_linenumber") % 4 + 1)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", remap.flipped(call).alias("flipped"))
+
+
+@query("pid", LOCI + "SELECT locus, seq_ord, 100.0::DOUBLE * (length(seq) - length(replace(seq, 'A', ''))) / length(seq) AS pid FROM loci WHERE length(seq) > 0")
+def _identity(spark, d):
+    bars = F.translate("seq", "ACGT", "|   ")
+    return loci(spark, d).where("length(seq) > 0").select("locus", "seq_ord", remap.identity(bars, F.col("seq")).alias("pid"))

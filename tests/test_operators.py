@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from snpweave.functions import genotype as gt
 from snpweave.functions import sequence as sq
-from snpweave.operators import annotate, blocks, convert, frequencies, graph, lists, pairwise, sequences
+from snpweave.operators import annotate, blocks, convert, frequencies, graph, lists, pairwise, remap, sequences
 
 CALLS = "ind long, pop long, grp long, m long, chrom long, pos long, a1 int, a2 int"
 
@@ -109,3 +109,13 @@ def test_converters_round_trip(spark):
     assert {(r.pos, r.line) for r in convert.site_rows(full, gt.coded(convert.dose_of(), "NA")).collect()} == {(1, "1 NA"), (11, "NA 2")}
     assert {(r.pos, r.line) for r in convert.site_rows(full, convert.introgress_cell(), ",").collect()} == {(1, "0/1,NA/NA"), (11, "NA/NA,1/1")}
     assert {(r.ind, r.hap, r.line) for r in convert.structure_rows(full, F.lit("A"), F.lit("T")).collect()} == {(1, 1, "10 -9"), (1, 2, "11 -9"), (2, 1, "-9 11"), (2, 2, "-9 11")}
+
+
+def test_remapping(spark):
+    sites = spark.createDataFrame([("l1", 3, "A", "G"), ("l2", 3, "A", "G")], "chrom string, pos int, ref string, alt string")
+    fasta = spark.createDataFrame([("l1", "C-ATT"), ("l2", "CCATT")], "name string, seq string")
+    mapped = spark.createDataFrame([("l1", 0), ("l2", 16)], "qname string, flag int")
+    bases = spark.createDataFrame([("l1", 1, "g", 101, "G"), ("l2", 2, "g", 202, "T")], "qname string, qpos int, genome_chrom string, rpos int, rbase string")
+    got = {tuple(r) for r in remap.remap_to_genome(sites, fasta, mapped, bases).collect()}
+    assert got == {("l1", 3, "g", 101, "G", "G", "A", "forward_swapped"), ("l2", 3, "g", 202, "T", "T", "C", "reverse_same")}
+    assert [r[0] for r in spark.createDataFrame([("0/1:9",), ("0|0",), ("./.",)], "c string").select(remap.flipped(F.col("c"))).collect()] == ["0/1:9", "1|1", "./."]

@@ -5,7 +5,7 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
-from snpweave.sources import reads, text, variants
+from snpweave.sources import reads, rename, text, variants
 
 VCF = """##fileformat=VCFv4.1
 #CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2\ts3
@@ -108,3 +108,14 @@ def test_sinks(spark, tmp_path):
     reads.write_per_reference(rows, "name", F.col("seq"), str(tmp_path / "refs"))
     reads.write_per_reference(rows, "name", F.col("seq"), str(tmp_path / "refs"))
     assert {(r.ref, r["count"]) for r in spark.read.text(str(tmp_path / "refs")).groupBy("ref").count().collect()} == {("a", 2), ("b", 2)}
+
+
+def test_renames(spark, tmp_path):
+    for name in ("x_AACC_1.fq", "y_GGTT.fq", "z.fq"):
+        put(tmp_path, name, "abc")
+    codes = spark.createDataFrame([("AACC", "s1"), ("GGTT", "s2")], "barcode string, name string")
+    plan = rename.rename_plan(spark, str(tmp_path), codes)
+    assert {r.size for r in plan.collect()} == {"3.0B"}
+    assert len(rename.rename_files(plan)) == 2 and (tmp_path / "x_AACC_1.fq").exists()
+    rename.rename_files(plan, really=True)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["x_s1_1.fq", "y_s2.fq", "z.fq"]
