@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, materialize
 
 MIN_CHARS, MAX_CHARS = 512, 8192
 
@@ -68,11 +68,12 @@ def exact_dedup(docs: DataFrame, **options) -> DataFrame:
     """``(doc_id, keep_id, group_size, kept, text_sha256)``, one row a document; the largest ``doc_id`` of equal texts stays.
 
     Only groups of several rows are joined back, so documents without a copy meet no
-    further row; a very large group is one row on the right side, and the adaptive
-    planner splits its left side over tasks.
+    further row.  The groups are written first, so that the join has a plain exchange on
+    both sides: a very large group is one row on the right, and the adaptive planner
+    splits its left side over tasks (or sends the groups to all, if they are few).
     """
     made = recipes(docs, **options)
-    groups = made.groupBy("recipe").agg(F.max("doc_id").alias("group_keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = materialize(made.groupBy("recipe").agg(F.max("doc_id").alias("group_keep"), F.count(F.lit(1)).alias("n")).where("n > 1"), "copies")
     out = made.join(groups, "recipe", "left")
     keep = F.coalesce("group_keep", "doc_id")
     return out.select(
