@@ -1,15 +1,15 @@
-"""Shared plumbing of the text operators: scratch tables, column checks, text batches and word caches."""
+"""Shared plumbing of the text operators: folds, samples, id filters, text batches and word tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import discard, materialize
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -17,38 +17,6 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 SLICE_CHARS = 4_000_000
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one is made only where the setting is absent, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="snpweave-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back.
-
-    This cuts lineage: a lost executor costs a re-read of a shared file and never
-    a recomputation of the stages before it.
-    """
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/snpweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table that :func:`materialize` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if "/snpweave/" in folder.toString():
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 #: Ids that are sent to every executor at most (some 30 MB); beyond it both sides are dealt by id.
 BROADCAST_IDS = 500_000
 

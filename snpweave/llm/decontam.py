@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, discard, materialize, text_slices, worker_state
+from ..storage import discard, materialize
+from .common import WordTable, text_slices, worker_state
 
 N, SPAN = 3, 4
 #: A gram is rare if no more than this share of the documents, or this number, hold it.

@@ -20,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize
+from ..storage import materialize
+from .common import ascii_lower
 
 MIN_CHARS, MAX_CHARS = 512, 8192
 

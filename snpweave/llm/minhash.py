@@ -36,8 +36,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, discard, materialize, text_slices, worker_state
-from .components import connected_components
+from ..operators.graph import connected_components
+from ..storage import discard, materialize
+from .common import WordTable, text_slices, worker_state
 
 WORDS = 5
 #: Links need 100 * intersection >= THRESHOLD * union.

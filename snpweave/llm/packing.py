@@ -27,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_slices, worker_state
+from ..storage import materialize
+from .common import text_slices, worker_state
 
 #: Words kept with their ids in one worker (about 100 MB).
 CACHE_WORDS = 500_000

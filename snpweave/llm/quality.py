@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, materialize, text_slices
+from ..storage import materialize
+from .common import held_out, text_slices
 
 STATISTICS = (
     "log_chars", "log_words", "word_chars", "upper", "digit", "space", "sign", "exclaim", "mark", "pipe", "non_ascii", "distinct_words", "repeat_next",

@@ -22,7 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, materialize
+from ..storage import materialize
+from .common import LOWER, UPPER
 
 
 @dataclass(frozen=True)
