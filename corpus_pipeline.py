@@ -10,13 +10,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snpweave.llm.common import materialize, without_ids
+from snpweave.llm.common import without_ids
 from snpweave.llm.decontam import find_leaks
 from snpweave.llm.exact_dedup import exact_dedup
 from snpweave.llm.langid import keep_languages, learn
 from snpweave.llm.minhash import minhash_components
 from snpweave.llm.packing import pack
 from snpweave.llm.queries import packed_digests, tokenizer_path
+from snpweave.storage import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
