@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -14,7 +15,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 #: Text handed to one step of a Python operator, in characters; only a text that is longer by itself exceeds it.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 
 #: Ids that are sent to every executor at most (some 30 MB); beyond it both sides are dealt by id.
@@ -46,6 +47,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(crc_fold(doc_id) == 1, F.lit(False))
 
 
+#: Rows and bytes of one Arrow batch at most; the JVM and the worker each hold a few at a time.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4_000_000
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` over small batches.
+
+    Texts differ in length a thousandfold, so the default of 10,000 rows a batch would bound
+    no memory.  The session's limits are lowered to those above (never raised) and stay so,
+    since they are read when the plan runs.
+    """
+    conf, units = df.sparkSession.conf, {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = re.match(r"(\d+)([kmg]?)b?$", conf.get(key).lower())
+        if not now or not 0 < int(now[1]) * units[now[2]] <= most:
+            conf.set(key, str(most))
+    return df.mapInArrow(run, schema)
+
+
 def text_slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Cut Arrow batches into runs of rows whose texts hold about ``limit`` characters, so memory is bounded by
     the slice and not by the number of rows in a batch.  Yields the slice and its texts as Python values."""
@@ -58,6 +78,7 @@ def text_slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE
         for start in range(0, batch.num_rows, step):
             part = batch.slice(start, step)
             yield part, part.column(part.schema.get_field_index(text)).to_pylist()
+    pa.default_memory_pool().release_unused()  # an idle worker keeps no buffers of the task before
 
 
 def sample_labelled(docs: DataFrame, known: DataFrame, per_label: int, seed: int, extra: list[str] | None = None) -> list:
@@ -102,7 +123,7 @@ class WordTable:
     results never depend on what is cached.
     """
 
-    def __init__(self, fill, limit: int = 200_000):
+    def __init__(self, fill, limit: int = 100_000):
         self.fill, self.limit = fill, limit
         self.ids: dict = {}
         self.values = None

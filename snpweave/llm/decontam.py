@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import discard, materialize
-from .common import WordTable, text_slices, worker_state
+from .common import WordTable, map_arrow, text_slices, worker_state
 
 N, SPAN = 3, 4
 #: A gram is rare if no more than this share of the documents, or this number, hold it.
@@ -166,7 +166,7 @@ def _find_windows(docs: DataFrame, block, n: int) -> DataFrame:
             lists = [pa.array(x, pa.list_(pa.int32())) for x in (words, grams, places)]
             yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(row, pa.int64())), pa.array(begin, pa.int32()), *lists], names=["doc_id", "start", "words", "grams", "places"])
 
-    return docs.mapInArrow(run, f"doc_id {id_type}, start int, words array<int>, grams array<int>, places array<int>")
+    return map_arrow(docs, run, f"doc_id {id_type}, start int, words array<int>, grams array<int>, places array<int>")
 
 
 def _align_windows(windows: DataFrame, block, seeds, threshold: float) -> DataFrame:
@@ -201,7 +201,7 @@ def _align_windows(windows: DataFrame, block, seeds, threshold: float) -> DataFr
             columns = [pa.array([x[c] for x in out], kind) for c, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(columns[0]), *columns[1:]], names=["doc_id", "item_id", "score", "doc_from", "doc_to", "item_from", "item_to"])
 
-    return windows.mapInArrow(run, f"doc_id {id_type}, item_id long, score double, doc_from long, doc_to long, item_from long, item_to long")
+    return map_arrow(windows, run, f"doc_id {id_type}, item_id long, score double, doc_from long, doc_to long, item_from long, item_to long")
 
 
 def benchmark_blocks(benchmark: DataFrame, block_chars: int, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:

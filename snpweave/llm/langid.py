@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, held_out, sample_labelled, text_slices, worker_state
+from .common import WordTable, held_out, map_arrow, sample_labelled, text_slices, worker_state
 
 UNKNOWN = "und"
 #: Documents of each language to learn from at most, languages at most (the most frequent), features kept.
@@ -45,7 +45,7 @@ SEGMENT = 64
 SEED = 3
 
 #: Characters of text in one step of a worker.
-STEP_CHARS = 1_500_000
+STEP_CHARS = 600_000
 
 _LETTER = re.compile(r"[^\W\d_]")
 _SIGNS = string.punctuation + "¿¡«»„“”‚‘’…–—"
@@ -290,7 +290,7 @@ def keep_languages(docs: DataFrame, model: Crf | None, *, least: float, id_col:
             keep = [x != UNKNOWN and y >= least for x, y in zip(lang, score.tolist(), strict=True)]
             yield part.filter(pa.array(keep, pa.bool_())).rename_columns(schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def label_texts(model: Crf | None, texts: list[str | None], spans: bool = False) -> tuple[list[str], np.ndarray, list[list[dict]]]:
@@ -300,7 +300,7 @@ def label_texts(model: Crf | None, texts: list[str | None], spans: bool = False)
     lang, score, runs = [UNKNOWN] * len(cut), np.zeros(len(cut)), [[] for _ in cut]
     if not sizes.sum():
         return lang, score, runs
-    table = worker_state("langid", model, lambda: WordTable(model.emissions))
+    table = worker_state("langid", model, lambda: WordTable(model.emissions, 200_000))
     ids = table.rows([w for ws in cut for w in ws])
     e = table.values[ids]
     p = model.marginals(e[:, :-1].astype(np.float64), sizes)
@@ -338,4 +338,4 @@ def tag_languages(docs: DataFrame, model: Crf | None, *, spans: bool = False, id
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     more = ", spans array<struct<first:int,last:int,lang:string>>" if spans else ""
-    return rows.mapInArrow(run, f"doc_id {id_type}, lang_pred string, score double{more}")
+    return map_arrow(rows, run, f"doc_id {id_type}, lang_pred string, score double{more}")

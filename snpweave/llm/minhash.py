@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..storage import discard, materialize
-from .common import WordTable, text_slices, worker_state
+from .common import WordTable, map_arrow, text_slices, worker_state
 
 WORDS = 5
 #: Links need 100 * intersection >= THRESHOLD * union.
@@ -134,7 +134,7 @@ def signatures(docs: DataFrame, *, words: int = WORDS, m: int = HALF_KEYS, k: in
             )
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {id_type}, n_shingles long, set1 long, set2 long, first array<long>, second array<long>, sketch array<long>")
+    return map_arrow(rows, run, f"doc_id {id_type}, n_shingles long, set1 long, set2 long, first array<long>, second array<long>, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, *, words: int = WORDS) -> DataFrame:
@@ -146,7 +146,7 @@ def full_sets(docs: DataFrame, *, words: int = WORDS) -> DataFrame:
             sets = [s.view(np.int64) for s in shingle_sets(texts, words)]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {id_type}, shingles array<long>")
+    return map_arrow(docs.select("doc_id", F.col("text").cast("binary").alias("text")), run, f"doc_id {id_type}, shingles array<long>")
 
 
 def bucket_members(reps: DataFrame) -> DataFrame:

@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from .common import text_slices, worker_state
+from .common import map_arrow, text_slices, worker_state
 
-#: Words kept with their ids in one worker (about 100 MB).
-CACHE_WORDS = 500_000
+#: Words kept with their ids in one worker (about 50 MB).
+CACHE_WORDS = 250_000
 #: Longer words are encoded anew each time.
 CACHE_CHARS = 64
 
@@ -128,7 +128,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, id_col: s
             )
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {id_type}, part long, local_start long, n_tokens long, ids binary")
+    return map_arrow(rows, run, f"doc_id {id_type}, part long, local_start long, n_tokens long, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, *, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -146,7 +146,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, window: int = 2048, end_id: in
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step = max(1, min(batch.num_rows, int(8e6 // max(1, batch.nbytes / max(1, batch.num_rows)))))
+            step = max(1, min(batch.num_rows, int(2e6 // max(1, batch.nbytes / max(1, batch.num_rows)))))
             for at in range(0, batch.num_rows, step):
                 rows = batch.slice(at, step)
                 part, local, n = (rows.column(i).to_numpy() for i in (1, 2, 3))
@@ -168,4 +168,4 @@ def pack(docs: DataFrame, tokenizer_path: str, *, window: int = 2048, end_id: in
                     names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
                 )
 
-    return tokens.mapInArrow(cut, f"doc_id {id_type}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return map_arrow(tokens, cut, f"doc_id {id_type}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from .common import held_out, text_slices
+from .common import held_out, map_arrow, text_slices
 
 STATISTICS = (
     "log_chars", "log_words", "word_chars", "upper", "digit", "space", "sign", "exclaim", "mark", "pipe", "non_ascii", "distinct_words", "repeat_next",
@@ -68,7 +68,7 @@ def document_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
         for rows, texts in text_slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([statistics(t) for t in texts], pa.list_(pa.float64()))], names=["doc_id", "stats"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {id_type}, stats array<double>")
+    return map_arrow(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, f"doc_id {id_type}, stats array<double>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -134,7 +134,7 @@ def fit(labelled: DataFrame, *, features: int = FEATURES, width: float = WIDTH,
                 total += phi.T @ np.column_stack([phi, batch.column(1).to_numpy().astype(float)])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(d, dtype=np.int32)), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "row"])
 
-    partial = labelled.select("stats", F.col("label").cast("double").alias("label")).mapInArrow(parts, "i int, row array<double>")
+    partial = map_arrow(labelled.select("stats", F.col("label").cast("double").alias("label")), parts, "i int, row array<double>")
     added = partial.select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).collect()  # d * (d + 1) rows
     equations = np.zeros((d, d + 1))
     for i, j, v in added:
@@ -150,7 +150,7 @@ def fit(labelled: DataFrame, *, features: int = FEATURES, width: float = WIDTH,
                 bins = np.clip((fitted.value.raw(_matrix(batch.column(0))) + 0.5) / 2 * BINS, 0, BINS - 1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(bins), batch.column(1)], names=["bin", "label"])
 
-    binned = labelled.select("stats", F.col("label").cast("double").alias("label")).mapInArrow(raw, "bin int, label double")
+    binned = map_arrow(labelled.select("stats", F.col("label").cast("double").alias("label")), raw, "bin int, label double")
     rows = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("y")).orderBy("bin").collect()  # at most BINS rows
     x = np.array([(r["bin"] + 0.5) / BINS * 2 - 0.5 for r in rows])
     model.edges, model.levels = isotonic(x, np.array([r.y for r in rows]), np.array([float(r.n) for r in rows]))
@@ -171,5 +171,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, label_col: str = "qual
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.value.score(_matrix(batch.column(1))))], names=["doc_id", "score"])
 
-    scored = stats.mapInArrow(run, f"doc_id {id_type}, score double")
+    scored = map_arrow(stats, run, f"doc_id {id_type}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -30,7 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, text_slices
+from .common import ascii_lower, map_arrow, text_slices
 
 # The rules of the query, as host, path, verdict.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -148,4 +148,4 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, default: str = "allow", i
             verdict = pa.array([default if m is None else "block" if m[3] else "allow" for m in met], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, rule, verdict], names=["page_id", "host", "path", "rule", "verdict"])
 
-    return rows.mapInArrow(run, f"page_id {id_type}, host string, path string, rule string, verdict string")
+    return map_arrow(rows, run, f"page_id {id_type}, host string, path string, rule string, verdict string")
