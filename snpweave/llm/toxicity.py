@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, held_out, sample_labelled, text_slices, worker_state
+from .common import WordTable, held_out, map_arrow, sample_labelled, text_slices, worker_state
 
 #: Hash buckets, embedding size, filters of each width, widths.
 BUCKETS, EMBED, FILTERS, WIDTHS = 1 << 20, 12, 12, (1, 2, 3)
@@ -226,20 +226,28 @@ def fit(rows: list, lang: bool) -> tuple[ConvText, dict[str, float]]:
         model = ConvText(np.empty(0, np.int64))
         model.constant = float(labels[0]) if len(rows) else 0.0
         return model, {}
-    hashed = [pieces((r.text or "").split()) for r in rows]
-    texts_with = np.bincount(np.concatenate([np.unique(h[h >= 0]) for h in hashed]).astype(np.int64), minlength=BUCKETS)
+    table, hashed = WordTable(pieces, 60_000), []
+    for r in rows:
+        ids = table.rows((r.text or "").split())
+        hashed.append(table.values[ids] if len(ids) else np.empty((0, PARTS), np.int32))
+    texts_with = np.zeros(BUCKETS, np.int32)
+    for h in hashed:
+        texts_with[np.unique(h[h >= 0])] += 1
     model = ConvText(np.flatnonzero(texts_with >= MIN_TEXTS))
-    texts = [model.rows(h) for h in hashed]
+    texts = [model.rows(hashed.pop(0)) for _ in rows]
     parts = [p for ids, y in zip(texts, labels, strict=True) for p in passages(ids, int(y))]
     rng = np.random.default_rng(SEED)
     clean = [i for i, (_, y) in enumerate(parts) if not y]
     keep = set(rng.permutation(clean)[: 3 * SAMPLE].tolist())
     parts = [p for i, p in enumerate(parts) if p[1] or i in keep]
     model.train([p for p, _ in parts], np.array([y for _, y in parts], np.float32))
-    table = WordTable(model.terms)
-    cut = [(r.text or "").split() for r in rows]
-    ids = table.rows([w for ws in cut for w in ws])
-    logits = model.logits(table.values, ids, np.array([len(ws) for ws in cut])).astype(float)
+    del parts, texts
+    logits, table = [], WordTable(model.terms, 20_000)
+    for at in range(0, len(rows), 50):
+        cut = [(r.text or "").split() for r in rows[at : at + 50]]
+        ids = table.rows([w for ws in cut for w in ws])
+        logits.append(model.logits(table.values, ids, np.array([len(ws) for ws in cut])).astype(float))
+    logits = np.concatenate(logits)
     model.slope, model.shift = calibrate(logits, labels)
     scores = 1 / (1 + np.exp(-(model.slope * logits + model.shift)))
     names = np.array([str(r.lang) for r in rows]) if lang else np.array([])
@@ -260,10 +268,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, label_col: str = "tox
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for part, texts in text_slices(batches, "text", 2_000_000):
+        for part, texts in text_slices(batches, "text", 600_000):
             scores = m.scores(texts, worker_state("toxicity", m, lambda: WordTable(m.terms)))
             least = np.array([bounds.value.get(x, threshold) for x in part.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores), pa.array((scores >= least).astype(np.int32))], names=["doc_id", "score", "flagged"])
 
-    scored = rows.mapInArrow(run, f"doc_id {id_type}, score double, flagged int")
+    scored = map_arrow(rows, run, f"doc_id {id_type}, score double, flagged int")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "flagged")
