@@ -46,9 +46,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def loci(spark: SparkSession, d: str) -> DataFrame:
-    """``(locus, seq_ord, sample, seq)``: conversations as alignments of up to 40 bases."""
+    """``(locus, seq_ord, sample, seq)``: conversations as alignments, a base for each letter of the whole text."""
     bases = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
-    return table(spark, d, "conversations").select(F.col("conv_id").alias("locus"), F.col("turn").alias("seq_ord"), F.col("role").alias("sample"), F.substring(bases, 1, 40).alias("seq"))
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("locus"), F.col("turn").alias("seq_ord"), F.col("role").alias("sample"), bases.alias("seq"))
 
 
 # ---- missing data and frequencies -------------------------------------------------------------
@@ -863,15 +863,16 @@ SELECT chrom, CAST(pos AS BIGINT) AS pos, 'g' || chrom % 3 AS genome_chrom, rpos
 
 @query("vcf_remap2genome", GENOME)
 def _genome(spark, d):
-    first = sequences.first_sequences(loci(spark, d)).where("length(seq) = 40")
+    """Sites at every seventh place of each locus' first sequence, from the fourth."""
+    first = sequences.first_sequences(loci(spark, d)).where("length(seq) >= 4")
     fasta = first.select(F.col("locus").alias("name"), F.replace("seq", F.lit("GG"), F.lit("--")).alias("seq"))
     base = F.substring("seq", F.col("pos").cast("int"), F.lit(1))
-    places = F.explode(F.array(*[F.lit(p).cast("long") for p in (4, 11, 18, 25, 32)]))
+    places = F.explode(F.sequence(F.lit(4).cast("long"), F.length("seq").cast("long"), F.lit(7).cast("long")))
     with_ref = fasta.select(F.col("name").alias("chrom"), "seq", places.alias("pos")).withColumn("ref", F.when(base == "-", "A").otherwise(base))
     found = with_ref.select("chrom", "pos", "ref", F.translate("ref", "ACGT", "CATG").alias("alt"))
     mapped = fasta.select(F.col("name").alias("qname"), F.when(F.col("name") % 2 == 0, 0).otherwise(16).alias("flag"))
     i = F.col("i")
-    bases = fasta.select(F.col("name").alias("qname"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))).alias("i")).select(
+    bases = fasta.select(F.col("name").alias("qname"), F.explode(F.sequence(F.lit(0).cast("long"), F.length("seq").cast("long") - 1)).alias("i")).select(
         "qname", i.alias("qpos"), F.concat(F.lit("g"), (F.col("qname") % 3).cast("string")).alias("genome_chrom"), (1000 * F.col("qname") + i).alias("rpos"), F.substring(F.lit("ACGT"), (1 + (F.col("qname") * 7 + i * i) % 4).cast("int"), F.lit(1)).alias("rbase")
     )
     return remap.remap_to_genome(found, fasta, mapped, bases)
