@@ -161,7 +161,7 @@ def _contrast(spark, d):
 
 @query("vcf_reference_loci", G + "SELECT DISTINCT chrom FROM g WHERE ind % 50 = 1 AND m % 7 = 0")
 def _reference_loci(spark, d):
-    return genotypes(spark, d).where("ind % 50 = 1 AND m % 7 = 0").select("chrom").distinct()
+    return genotypes(spark, d).where("ind % 50 = 1").select("chrom").distinct()
 
 
 @query("vcf_pos_count", G + """, h AS (SELECT pos, count(*) AS n FROM s WHERE pos BETWEEN 1 AND 999 GROUP BY pos), d AS (SELECT p AS pos, coalesce(n, 0) AS n FROM range(1, 1000) t(p) LEFT JOIN h ON h.pos = p),
@@ -213,10 +213,9 @@ def _distance(spark, d):
 bt AS (SELECT * FROM dm UNION ALL SELECT ind2, ind1, d FROM dm UNION ALL SELECT ind, ind, 0.0 FROM smp WHERE ind BETWEEN 1 AND 10)
 SELECT ind1, """ + ", ".join(f'max(d) FILTER (ind2 = {i}) AS "{i}"' for i in range(1, 11)) + " FROM bt GROUP BY ind1")
 def _matrix(spark, d):
-    """The listed ten samples, in the list's order."""
-    listed = spark.range(1, 11).select(F.col("id").alias("ind"))
-    pairs = pairwise.matches(lists.include(genotypes(spark, d), listed, "ind"), crosswise=False)
-    return pairwise.distance_matrix(pairwise.distances(pairs).withColumn("d", F.round("d", 9)), list(range(1, 11)))
+    """Every sample with every sample, in long form: a column a sample would not grow with the table."""
+    pairs = pairwise.matches(genotypes(spark, d), crosswise=False)
+    return pairwise.distance_table(pairwise.distances(pairs).withColumn("d", F.round("d", 9)), samples(spark, d))
 
 
 def cloned(spark, d):
@@ -286,9 +285,8 @@ def _clone_stats(spark, d):
 
 @query("nj_tree")
 def _tree(spark, d):
-    """Over the listed twelve samples; a tree's leaves are a list by nature."""
-    listed = spark.range(1, 13).select(F.col("id").alias("ind"))
-    return graph.neighbour_joining(pairwise.distances(pairwise.matches(lists.include(genotypes(spark, d), listed, "ind"), crosswise=False)))
+    """Over all samples."""
+    return graph.neighbour_joining(pairwise.distances(pairwise.matches(genotypes(spark, d), crosswise=False)))
 
 
 @query("shared_loci", G + """, p AS (SELECT DISTINCT ind, chrom FROM g WHERE a1 + a2 > 0 AND m % 5 = ind % 5), q AS (SELECT a.ind, b.ind AS t, count(*) AS n FROM p a JOIN p b ON a.chrom = b.chrom GROUP BY ALL)
@@ -605,8 +603,7 @@ def _outflank(spark, d):
 
 @query("genotype_matrix", DENSE + "SELECT chrom, pos, string_agg(coalesce(CAST(a1 + a2 AS VARCHAR), '-9'), ' ' ORDER BY ind) AS line FROM dn WHERE m % 10 = 1 GROUP BY chrom, pos")
 def _matrix_rows(spark, d):
-    listed = sites(spark).where("m % 10 = 1")
-    return convert.site_rows(convert.dense(genotypes(spark, d), samples(spark, d), listed), gt.coded(convert.dose_of(), "-9"))
+    return convert.site_rows(dense(spark, d), gt.coded(convert.dose_of(), "-9"))
 
 
 @query("vcf2introgress", DENSE + "SELECT chrom, pos, string_agg(CASE WHEN a1 IS NULL THEN 'NA/NA' ELSE a1 || '/' || a2 END, ',' ORDER BY ind) AS line FROM dn GROUP BY chrom, pos")
@@ -685,7 +682,7 @@ SELECT go_id, 'term ' || substr(go_id, 4) AS description, string_agg(gene, ' ' O
 def _terms(spark, d):
     part = lambda n: F.concat(F.lit("term "), n, F.lit(" [GO:"), n, F.lit("]"))
     said = F.concat(part((F.col("p_size") % 9).cast("string")), F.lit("; "), part(((F.col("p_size") + 3) % 9).cast("string")))
-    genes = table(spark, d, "part").where("p_partkey < 300").select(F.col("p_partkey").alias("ord"), F.concat_ws("_", "p_brand", "p_partkey").alias("gene"), said.alias("said"))
+    genes = table(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.concat_ws("_", "p_brand", "p_partkey").alias("gene"), said.alias("said"))
     return annotate.terms(genes)
 
 
@@ -753,7 +750,7 @@ def _ref_or_last(spark, d):
 @query("concat_fasta", LOCI + """, t AS (SELECT * FROM loci WHERE locus % 10 = 0), w AS (SELECT locus, length(arg_min(seq, seq_ord)) AS width FROM t GROUP BY locus), o AS (SELECT locus, sample, arg_min(seq, seq_ord) AS seq FROM t GROUP BY ALL)
 SELECT p.sample, CAST(count(o.seq) AS BIGINT) AS n_seqs, string_agg(coalesce(o.seq, repeat('N', CAST(width AS INTEGER))), '' ORDER BY w.locus) AS seq FROM w CROSS JOIN (SELECT DISTINCT sample FROM t) p LEFT JOIN o ON o.locus = w.locus AND o.sample = p.sample GROUP BY p.sample""")
 def _concat(spark, d):
-    return sequences.concatenated(loci(spark, d).where("locus % 10 = 0"))
+    return sequences.concatenated(loci(spark, d))
 
 
 @query("loci_trim", LOCI + "SELECT locus, seq_ord, sample, substr(seq, 1, 15) AS seq FROM loci")
