@@ -1,7 +1,10 @@
 """License scans: exact phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block (a line of a document) matches a template when it holds at least ``threshold``
-of the template's distinct words.  The join is exact: template words are ordered by how
+A block matches a template when it holds at least ``threshold`` of the template's distinct
+words.  Blocks are the lines of a document and, since notices are wrapped, every run of
+words across line ends that is twice the template's length.  Runs go to the join in
+stretches of twice that size which overlap by half, so each run lies in one of them, and
+are slid over one by one in the stretches that pass.  The join is exact: template words are ordered by how
 many documents hold them, rarest first; a block that meets the threshold must hold one
 of the template's first ``|T| - need + 1`` words (prefix), must have ``need`` words of
 its own (length), and from the position of the first common word on both sides there
@@ -89,10 +92,10 @@ def license_scan(docs: DataFrame, *, templates=TEMPLATES, threshold: float = THR
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("words", words_of(F.col("text")))
     rows = rows.select("doc_id", "text", F.size("words").cast("long").alias("n_words"), F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("line"), F.array_intersect("words", as_array(vocabulary)).alias("known"))
     n_base, first, last, base = phrase_places(F.col("line"), F.col("n_words"))
-    enough = F.lit(False)
-    for _, ws in sets:
-        enough = enough | (F.size(F.array_intersect("known", as_array(ws))) >= need(len(ws), threshold))
-    scanned = rows.select("doc_id", "n_words", n_base.alias("n_base"), first.alias("first_word"), last.alias("last_word"), base.alias("base"), "known", F.when(enough, F.col("text")).alias("text"))
+    met_whole = [F.when(F.size(F.array_intersect("known", as_array(ws))) >= need(len(ws), threshold), F.lit(t)) for t, (_, ws) in enumerate(sets)]
+    rows = rows.withColumn("possible", F.array_compact(F.array(*met_whole)))
+    enough = F.size("possible") > 0
+    scanned = rows.select("doc_id", "n_words", n_base.alias("n_base"), first.alias("first_word"), last.alias("last_word"), base.alias("base"), "known", "possible", F.when(enough, F.col("text")).alias("text"))
     scanned = materialize(scanned, "licenses")
 
     # Document frequency of the templates' words; at most one row a template word reaches the driver.
@@ -102,16 +105,24 @@ def license_scan(docs: DataFrame, *, templates=TEMPLATES, threshold: float = THR
     prefixes = spark.createDataFrame(index, "template int, label string, word string, at int, size int, need int, template_words array<string>")
     rank = F.array_sort(F.transform(F.array_intersect("block", as_array(vocabulary)), lambda w: F.struct(F.element_at(F.create_map(*[F.lit(x) for pair in order.items() for x in pair]), w).alias("rank"), w.alias("word"))))
 
-    blocks = scanned.where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("block_no", "block_text"))
-    blocks = blocks.select("doc_id", "block_no", F.array_distinct(words_of(F.col("block_text"))).alias("block"))
-    blocks = blocks.select("doc_id", "block_no", F.size("block").alias("n_block"), F.transform(rank, lambda x: x.word).alias("ordered"))
-    probes = blocks.select("doc_id", "block_no", "n_block", "ordered", F.posexplode("ordered").alias("pos", "word"))
+    carried = scanned.where("text IS NOT NULL")
+    none = F.lit(None)
+    lines = carried.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("block_text")).select("doc_id", none.cast("int").alias("only"), none.cast("int").alias("width"), none.cast("array<string>").alias("run"), F.array_distinct(words_of(F.col("block_text"))).alias("block"))
+    widths = as_array([2 * len(text.split()) for _, text in templates])
+    open_ = carried.select("doc_id", words_of(F.col("text")).alias("words"), F.explode("possible").alias("only")).withColumn("width", F.element_at(widths, F.col("only") + 1))
+    starts = F.sequence(F.lit(0), F.floor((F.size("words") - 1) / F.col("width")).cast("int"))
+    runs = open_.select("doc_id", "only", "width", F.explode(F.transform(starts, lambda i: F.slice("words", i * F.col("width") + 1, 2 * F.col("width")))).alias("run")).withColumn("block", F.array_distinct("run"))
+    blocks = lines.union(runs.select("doc_id", "only", "width", "run", "block"))
+    blocks = blocks.select("doc_id", "only", "width", "run", F.size("block").alias("n_block"), F.transform(rank, lambda x: x.word).alias("ordered"))
+    probes = blocks.select("doc_id", "only", "width", "run", "n_block", "ordered", F.posexplode("ordered").alias("pos", "word"))
     met = probes.join(F.broadcast(prefixes), "word")  # the templates' own size
-    met = met.where("n_block >= need AND least(size - at, size(ordered) - pos) >= need - least(at, pos)")
-    met = met.select("doc_id", "block_no", "template", "label", "size", "need", F.size(F.array_intersect("ordered", "template_words")).alias("common")).where("common >= need")
+    met = met.where("only IS NULL OR only = template").where("n_block >= need AND least(size - at, size(ordered) - pos) >= need - least(at, pos)")
+    met = met.select("doc_id", "width", "run", "label", "size", "need", "template_words", F.size(F.array_intersect("ordered", "template_words")).alias("common")).where("common >= need")
+    slid = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.col("width"), F.size("run") - F.col("width")) + 1)), lambda i: F.size(F.array_intersect(F.slice("run", i, F.col("width")), F.col("template_words"))))
+    met = met.select("doc_id", "label", "size", "need", F.when(F.col("run").isNull(), F.col("common")).otherwise(F.array_max(slid)).alias("common")).where("common >= need")
     found = met.groupBy("doc_id").agg(F.collect_set("label").alias("more"), F.max(F.col("common") / F.col("size")).alias("best"))
 
-    out = scanned.drop("text", "known").withColumn("key", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).join(found.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("key"), "more", "best"), "key", "left")
+    out = scanned.drop("text", "known", "possible").withColumn("key", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).join(found.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("key"), "more", "best"), "key", "left")
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     more = F.coalesce("more", F.array().cast("array<string>"))
     return out.select(

@@ -70,6 +70,18 @@ def test_licenses(spark, edge, none):
     assert licenses.license_scan(none).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    import textwrap
+
+    every = [(i, label, "\n".join(textwrap.wrap("filler " * (i % 11 + 60 * i) + text + " tail" * 70, 72))) for i, (label, text) in enumerate(licenses.TEMPLATES)]
+    deep = [(100 + i, label, f"{'x ' * i}\n" + "\n * ".join(textwrap.wrap(text, 30)) + "\n" + "y\n" * i) for i, (label, text) in enumerate(licenses.TEMPLATES)]
+    scattered = [(200 + i, "", ("\n" + "z " * 100).join(text.split())) for i, (_, text) in enumerate(licenses.TEMPLATES)]
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame([(i, t) for i, _, t in every + deep + scattered], "doc_id long, text string")).collect()}
+    for i, label, _ in every + deep:
+        assert label in got[i].labels.split(",") and got[i].score == 1.0
+    assert all(got[i].labels == "" for i, _, _ in scattered)
+
+
 def judged(url, rules):
     host = path = ""
     if url and "://" in url:
