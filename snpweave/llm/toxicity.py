@@ -11,9 +11,10 @@ id, with the texts cut into passages); everything is plain numpy.
 A document is scored over its whole text.  Because a filter is linear, its response at a
 place is a sum of terms of single words, which are worked out once for each hashed word.
 
-The score is calibrated on the training rows (a logistic fit of the raw output), and a
-threshold for each language is chosen there: the score that gives the best F1 among the
-language's labelled rows.  The thresholds go into ``flagged`` by the language that a
+The score is calibrated on all labelled rows that are not held out (a logistic fit of the
+raw output), and a threshold for each language is chosen there: the score that gives the
+best F1 among the language's labelled rows.  Both are fitted on counts of raw outputs in
+``BINS`` steps by language and label, so their size does not grow with the rows.  The thresholds go into ``flagged`` by the language that a
 separate column holds, if one is given; they never enter the score.
 
 Defined results: null and empty texts get the score of a text without words; without
@@ -47,6 +48,9 @@ SAMPLE, CROP, EPOCHS, RATE = 1500, 400, 14, 0.02
 #: Padded words in a training batch.
 BATCH_WORDS = 24_000
 SEED = 5
+#: Steps of the raw output, and its bounds, in the counts that calibration and thresholds are fitted on.
+BINS, LOGIT = 6000, 30.0
+
 
 def pieces(words: list[str]) -> np.ndarray:
     """``(word, PARTS)`` hash buckets, letters and digits alone in lower case: the word, and each longer word's beginning of
@@ -176,14 +180,18 @@ class ConvText:
             pooled[filled, k * FILTERS : (k + 1) * FILTERS] = np.maximum.reduceat(r, starts, axis=0)
         return pooled @ self.out + self.out_bias
 
-    def scores(self, texts: list[str | None], table: WordTable) -> np.ndarray:
-        """Scores of whole texts; ``table`` keeps words' terms."""
-        if self.constant is not None:
-            return np.full(len(texts), self.constant)
+    def raw(self, texts: list[str | None], table: WordTable) -> np.ndarray:
+        """Raw outputs of whole texts; ``table`` keeps words' terms."""
         cut = [(t or "").split() for t in texts]
         ids = table.rows([w for ws in cut for w in ws])
-        logits = self.logits(table.values, ids, np.array([len(ws) for ws in cut], np.int64))
-        return 1 / (1 + np.exp(-(self.slope * logits.astype(float) + self.shift)))
+        return self.logits(table.values, ids, np.array([len(ws) for ws in cut], np.int64)).astype(float)
+
+    def calibrated(self, logits: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.slope * logits + self.shift)))
+
+    def scores(self, texts: list[str | None], table: WordTable) -> np.ndarray:
+        """Scores of whole texts."""
+        return np.full(len(texts), self.constant) if self.constant is not None else self.calibrated(self.raw(texts, table))
 
 
 def passages(ids: np.ndarray, label: int, crop: int = CROP) -> list[tuple[np.ndarray, int]]:
@@ -193,39 +201,66 @@ def passages(ids: np.ndarray, label: int, crop: int = CROP) -> list[tuple[np.nda
     return [(ids[s : s + crop], 0) for s in range(0, max(1, len(ids)), crop)]
 
 
-def calibrate(logits: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic fit with smoothed targets (Newton steps)."""
-    hi, lo = (labels.sum() + 1) / (labels.sum() + 2), 1 / ((1 - labels).sum() + 2)
-    target, a, b = np.where(labels == 1, hi, lo), 1.0, 0.0
+def calibrate(logits: np.ndarray, labels: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of a logistic fit with smoothed targets (Newton steps); ``n`` rows have each output and label."""
+    toxic, clean = (n * labels).sum(), (n * (1 - labels)).sum()
+    target, a, b = np.where(labels == 1, (toxic + 1) / (toxic + 2), 1 / (clean + 2)), 1.0, 0.0
     for _ in range(60):
         p = 1 / (1 + np.exp(-(a * logits + b)))
-        g = np.array([((p - target) * logits).sum(), (p - target).sum()])
-        q = p * (1 - p)
+        g = np.array([(n * (p - target) * logits).sum(), (n * (p - target)).sum()])
+        q = n * p * (1 - p)
         h = np.array([[(q * logits * logits).sum(), (q * logits).sum()], [(q * logits).sum(), q.sum()]]) + 1e-6 * np.eye(2)
         change = np.clip(np.linalg.solve(h, g), -1, 1)
         a, b = a - change[0], b - change[1]
     return float(max(a, 1e-3)), float(b)
 
 
-def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The score with the largest F1, in the middle of the gap below it; 0.7 where a class is missing."""
-    if not 0 < labels.sum() < len(labels):
-        return 0.7
-    order = np.argsort(-scores)
-    hits = np.cumsum(labels[order])
-    f1 = 2 * hits / (np.arange(1, len(labels) + 1) + labels.sum())
-    k = int(f1.argmax())
-    below = scores[order[k + 1]] if k + 1 < len(scores) else 0.0
-    return float((scores[order[k]] + below) / 2)
+def best_threshold(logits: np.ndarray, labels: np.ndarray, n: np.ndarray) -> float | None:
+    """The raw output with the largest F1, in the middle of the gap below it; None where a class is missing."""
+    if not 0 < (n * labels).sum() < n.sum():
+        return None
+    steps = np.unique(logits)[::-1]
+    at = np.searchsorted(-steps, -logits)
+    hits, seen = np.cumsum(np.bincount(at, n * labels, len(steps))), np.cumsum(np.bincount(at, n, len(steps)))
+    k = int((2 * hits / (seen + hits[-1])).argmax())
+    return float((steps[k] + steps[k + 1]) / 2) if k + 1 < len(steps) else float(steps[k] - LOGIT / BINS)
+
 
+def counted(model: ConvText, labelled: DataFrame) -> list:
+    """``(lang, label, bin, n)`` of the raw outputs of all rows ``(text, lang, label)``."""
+    sent = labelled.sparkSession.sparkContext.broadcast(model)
 
-def fit(rows: list, lang: bool) -> tuple[ConvText, dict[str, float]]:
-    """A trained and calibrated model of sampled rows, with each language's threshold."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for part, texts in text_slices(batches, "text", 600_000):
+            logits = m.raw(texts, worker_state("toxicity", m, lambda: WordTable(m.terms)))
+            bins = np.clip((logits + LOGIT) / (2 * LOGIT) * BINS, 0, BINS - 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(bins)], names=["lang", "label", "bin"])
+
+    binned = map_arrow(labelled.select("text", "lang", "label"), run, "lang string, label int, bin int")
+    return binned.groupBy("lang", "label", "bin").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 2 * BINS rows a language
+
+
+def settle(model: ConvText, counts: list) -> dict[str, float]:
+    """Calibrates the model on the counts; each language's threshold, where it has both classes."""
+    logits = (np.array([r["bin"] for r in counts]) + 0.5) / BINS * 2 * LOGIT - LOGIT
+    labels, n = np.array([float(r.label) for r in counts]), np.array([float(r.n) for r in counts])
+    model.slope, model.shift = calibrate(logits, labels, n)
+    names, limits = np.array([str(r.lang) for r in counts]), {}
+    for k in sorted({r.lang for r in counts} - {None}):
+        at = best_threshold(logits[names == k], labels[names == k], n[names == k])
+        if at is not None:
+            limits[k] = float(model.calibrated(np.array([at]))[0])
+    return limits
+
+
+def fit(rows: list) -> ConvText:
+    """A trained model of sampled rows, not yet calibrated."""
     labels = np.array([r.label for r in rows], np.float32)
     if not len(rows) or labels.min() == labels.max():
         model = ConvText(np.empty(0, np.int64))
         model.constant = float(labels[0]) if len(rows) else 0.0
-        return model, {}
+        return model
     table, hashed = WordTable(pieces, 60_000), []
     for r in rows:
         ids = table.rows((r.text or "").split())
@@ -241,17 +276,7 @@ def fit(rows: list, lang: bool) -> tuple[ConvText, dict[str, float]]:
     keep = set(rng.permutation(clean)[: 3 * SAMPLE].tolist())
     parts = [p for i, p in enumerate(parts) if p[1] or i in keep]
     model.train([p for p, _ in parts], np.array([y for _, y in parts], np.float32))
-    del parts, texts
-    logits, table = [], WordTable(model.terms, 20_000)
-    for at in range(0, len(rows), 50):
-        cut = [(r.text or "").split() for r in rows[at : at + 50]]
-        ids = table.rows([w for ws in cut for w in ws])
-        logits.append(model.logits(table.values, ids, np.array([len(ws) for ws in cut])).astype(float))
-    logits = np.concatenate(logits)
-    model.slope, model.shift = calibrate(logits, labels)
-    scores = 1 / (1 + np.exp(-(model.slope * logits + model.shift)))
-    names = np.array([str(r.lang) for r in rows]) if lang else np.array([])
-    return model, {str(k): best_threshold(scores[names == k], labels[names == k]) for k in sorted(set(names.tolist()))}
+    return model
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", threshold: float = 0.7, lang_col: str | None = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,8 +286,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, label_col: str = "tox
     lang = [F.col(lang_col).cast("string").alias("lang")] if lang_col and lang_col in docs.columns else []
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(lang or [F.lit(None).cast("string").alias("lang")]))
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label")).where(~held_out(F.col("doc_id")))
-    model, limits = fit(sample_labelled(rows, known, SAMPLE, SEED, ["lang"]), bool(lang))
-    model.tables = None
+    model = fit(sample_labelled(rows, known, SAMPLE, SEED))
+    limits = settle(model, counted(model, rows.join(known, "doc_id"))) if model.constant is None else {}
     sent, bounds = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(limits)
     id_type = rows.schema["doc_id"].dataType.simpleString()
 

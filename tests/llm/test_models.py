@@ -98,6 +98,28 @@ def test_toxicity(spark, tables, edge, none):
     assert {r.score for r in toxicity.toxicity_scores(docs, labels.where("false")).collect()} == {0.0}
 
 
+def test_toxicity_is_calibrated_on_all_labelled_rows(spark, monkeypatch):
+    """Labels that texts do not tell: the sample is half toxic, all labelled rows are a tenth."""
+    monkeypatch.setattr(toxicity, "SAMPLE", 20)
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(("red", "blue", "green", "grey", "pink")) for _ in range(12)), "xx" if i % 2 else "yy", int(rng.random() < 0.1)) for i in range(600)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    got = [r for r in toxicity.toxicity_scores(docs, labels).collect() if not r.held_out]
+    assert abs(np.mean([r.score for r in got]) - np.mean([rows[r.doc_id][3] for r in got])) < 0.05
+
+
+def test_toxicity_thresholds_use_counts():
+    class Count(dict):
+        __getattr__ = dict.__getitem__
+
+    counts = [Count(lang=k, label=y, bin=b, n=n) for k, y, b, n in (("a", 0, 2000, 900), ("a", 1, 4000, 5), ("b", 0, 2000, 9), (None, 1, 4000, 3))]
+    model = toxicity.ConvText(np.arange(5))
+    limits = toxicity.settle(model, counts)
+    low, high = model.calibrated(np.array([-10.0, 10.0]))
+    assert set(limits) == {"a"} and low < limits["a"] < high
+
+
 def test_convolution_of_ragged_texts_equals_padded():
     model = toxicity.ConvText(np.arange(500))
     texts = [["one", "two", "three", "four"], [], ["five"], ["six", "seven"]]
