@@ -1,24 +1,32 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-The benchmark is read in blocks of bounded size, each against all documents.  One pass
-over the texts finds where a document has n-grams of the block and keeps the words
-around them, as ids of the block's vocabulary (other words are one id that matches
-nothing).  The grams' document counts then tell which are rare.  Seeds are the grams that
-at most ``RARE_SHARE`` of the documents hold (``RARE_LEAST`` of them in a small corpus), and
-of every ``span`` consecutive grams of an item the rarest in any case, so that any
-``span + n - 1`` words in a row that were copied hold one, however often the passage
-itself occurs.  Items meet documents only by seeds; a candidate is aligned (match +2, mismatch and gap -1) and kept
-if its score reaches ``threshold`` of a perfect one.
+The benchmark is read in blocks of bounded size, each against all documents.  One pass over
+the texts writes the documents' words as ids of the block's vocabulary (other words are one
+id that matches nothing) and counts in how many documents each gram of the block occurs.
+Seeds are chosen by these counts, for grams of three words and of two: all rare grams (those that some
+document has, and at most ``RARE_SHARE`` of the documents or ``RARE_LEAST`` of them), and of every ``SPAN`` consecutive grams of an item the
+rarest of the others.  Grams that no document has are not weighed, and common grams only against common ones, so a
+passage that keeps three words in a row within every six keeps a seed however often it was copied, exactly or edited.
+Two-word seeds find copies that were edited more densely; they, and common seeds of three words, count only where two different ones of an
+item lie within reach.  A second pass, over
+the ids alone, joins documents to items by the seeds, leaves out pairs that share too few
+words to reach the threshold (an exact bound), and aligns the others (match +2, mismatch and
+gap -1).  A pair is kept if its score reaches ``threshold`` of a perfect one.
+
+Windows are cut by the item's own length: an alignment that reaches the threshold spans at
+most ``(3 - 2 * threshold)`` times the item's words.  Longer windows are cut into
+overlapping ones, so a step's arrays are bounded by pairs, item and window together.
 
 Defined results: null or empty texts and items match nothing; items shorter than ``n``
 words are one gram, their whole; words are letters and digits alone, in lower case, cut
-at blanks; a null ``doc_id`` is carried; repeated rows of one id give one row a pair;
-items of equal text each have their rows; empty tables give no rows; extra columns are
-ignored; whole texts are read, of any length.
+at blanks; a null ``doc_id`` is carried; repeated rows of one id give one row a pair, the best;
+items of equal text each have their rows, as have rows of a repeated item id with unlike texts (the best
+counts); empty tables give no rows; extra columns are ignored; whole texts are read, of any length.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -29,23 +37,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import discard, materialize
-from .common import WordTable, map_arrow, text_slices, worker_state
+from .common import WordTable, map_arrow, text_pieces, text_slices, worker_state
 
-N, SPAN = 3, 4
-#: A gram is rare if no more than this share of the documents, or this number, hold it.
-RARE_SHARE, RARE_LEAST = 0.0005, 10
+#: Words of a seed, of a second seed that must be met twice, and consecutive grams of which the rarest is a seed.
+N, PAIR, SPAN = 3, 2, 4
+#: A gram is rare if no more than this share of the documents, or this number, have it.
+RARE_SHARE, RARE_LEAST = 0.005, 10
 #: Least share of a perfect alignment's score.
 THRESHOLD = 0.5
 MATCH, COST = 2, 1
 #: Characters of benchmark text in one block; a block is what is sent to the executors.
 BLOCK_CHARS = 8_000_000
+#: Cells of one array in a step of the alignment.
+STEP_CELLS = 400_000
+
 
 def normal_word(word: str) -> str:
     return "".join(filter(str.isalnum, word.lower()))
 
 
 class Block:
-    """A part of the benchmark: its vocabulary, its items as word ids, and the sorted keys of its grams."""
+    """A part of the benchmark: its vocabulary, its items as word ids, and the sorted keys of its grams by their length."""
 
     def __init__(self, items: list[tuple[int, str]], n: int = N):
         self.vocabulary: dict[str, int] = {}
@@ -54,15 +66,15 @@ class Block:
             words = [w for w in map(normal_word, (text or "").split()) if w]
             if words:
                 self.ids.append(item_id)
-                self.items.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], np.int64))
-        self.longest = max(map(len, self.items), default=0)
+                self.items.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], np.int32))
+        self.n = n
         keys = defaultdict(set)
         for words in self.items:
-            k = min(n, len(words))
-            keys[k].update(self.grams(words, k).tolist())
-        self.keys = {k: np.array(sorted(v), np.int64) for k, v in keys.items()}
+            for k in {min(n, len(words)), min(PAIR, len(words))}:
+                keys[k].update(self.grams(words, k).tolist())
+        self.keys = {k: np.array(sorted(v), np.int64) for k, v in sorted(keys.items())}
         starts = np.cumsum([0, *(len(v) for v in self.keys.values())])
-        self.first = dict(zip(self.keys, starts.tolist(), strict=False))
+        self.first, self.total = dict(zip(self.keys, starts.tolist(), strict=False)), int(starts[-1])
 
     def grams(self, words: np.ndarray, k: int) -> np.ndarray:
         """Keys of the ``k``-grams; -1 where a word is not in the vocabulary."""
@@ -89,19 +101,28 @@ class Block:
                 at.append(where[met])
         return (np.concatenate(found), np.concatenate(at)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
 
-    def seeds(self, counts: dict[int, int], rare: float, n: int = N, span: int = SPAN) -> dict[int, list[int]]:
-        """Gram number to the items it is a seed of: grams in at most ``rare`` documents, and the rarest of every ``span`` in a row."""
-        chosen = defaultdict(set)
-        for item, words in enumerate(self.items):
-            numbers, at = self.find(words)
-            own = min(n, len(words))
-            grams = [g for _, g in sorted((p, g) for g, p in zip(numbers.tolist(), at.tolist(), strict=True) if self.first[own] <= g < self.first[own] + len(self.keys[own]))]
-            for g in grams:
-                if counts.get(g, 0) <= rare:
-                    chosen[g].add(item)
-            for start in range(max(1, len(grams) - span + 1)):
-                chosen[min(grams[start : start + span], key=lambda g: counts.get(g, 0))].add(item)
-        return {g: sorted(v) for g, v in chosen.items()}
+    def numbers(self, words: np.ndarray, k: int) -> np.ndarray:
+        """The numbers of an item's own ``k``-grams, in its order."""
+        return np.searchsorted(self.keys[k], self.grams(words, k)) + self.first[k]
+
+
+class Seeds:
+    """Gram number to the items it is a seed of, as flat arrays; ``alone`` tells whether one such seed is enough."""
+
+    def __init__(self, block: Block, counts: np.ndarray, rare: float, span: int = SPAN):
+        chosen = set()
+        for item, words in enumerate(block.items):
+            for k in {min(block.n, len(words)), min(PAIR, len(words))}:
+                numbers = block.numbers(words, k).tolist()
+                enough = len(words) <= PAIR
+                chosen.update((g, item, enough or k > PAIR) for g in numbers if 0 < counts[g] <= rare)
+                for start in range(max(1, len(numbers) - span + 1)):
+                    some = [(counts[g], g) for g in numbers[start : start + span] if counts[g] > rare]
+                    if some:
+                        chosen.add((min(some)[1], item, enough))
+        made = np.array(sorted(chosen), np.int64).reshape(-1, 3)
+        self.begin = np.searchsorted(made[:, 0], np.arange(block.total + 1))
+        self.item, self.alone = made[:, 1], made[:, 2].astype(bool)
 
 
 def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,14 +131,14 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
     A row's gaps along the window are a running maximum, so each item word costs a few vector operations.
     """
     rows, width = max(map(len, items)), max(map(len, windows))
-    a, b = np.full((len(items), rows), -2, np.int64), np.full((len(items), width), -1, np.int64)
+    a, b = np.full((len(items), rows), -2, np.int32), np.full((len(items), width), -1, np.int32)
     for i, (x, y) in enumerate(zip(items, windows, strict=True)):
         a[i, : len(x)], b[i, : len(y)] = x, y
     ramp = COST * np.arange(width, dtype=np.int32)
     above = np.zeros((len(items), width + 1), np.int32)
     best, end_i, end_j = np.zeros(len(items), np.int32), np.zeros(len(items), np.int64), np.zeros(len(items), np.int64)
     for i in range(rows):
-        score = np.where(b == a[:, i, None], MATCH, -COST).astype(np.int32)
+        score = np.where(b == a[:, i, None], np.int32(MATCH), np.int32(-COST))
         here = np.maximum(np.maximum(above[:, :-1] + score, above[:, 1:] - COST), 0)
         here = np.maximum.accumulate(here + ramp, axis=1) - ramp
         above[:, 1:] = here
@@ -128,80 +149,126 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
     return best, end_i, end_j
 
 
-def windows_of(words: np.ndarray, at: np.ndarray, reach: int) -> Iterator[tuple[int, int]]:
-    """Merged stretches ``[start, end)`` of ``reach`` words on both sides of the positions."""
-    start = end = None
-    for p in np.sort(at).tolist():
-        if end is not None and p - reach <= end:
-            end = p + reach
-        else:
-            if end is not None:
-                yield max(0, start), min(len(words), end)
-            start, end = p - reach, p + reach
-    if end is not None:
-        yield max(0, start), min(len(words), end)
-
-
-def _find_windows(docs: DataFrame, block, n: int) -> DataFrame:
+def _encode(docs: DataFrame, block) -> DataFrame:
+    """``(doc_id, words, grams, n)``: rows of documents that have a gram of the block, their words as ids; and, with null
+    words, rows of grams with the number of the task's documents that have them."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b: Block = block.value
-        numbers = lambda words: np.fromiter((b.vocabulary.get(x, -1) if (x := normal_word(w)) else -2 for w in words), np.int64, len(words))
-        reach = 2 * b.longest + n
+        numbers = lambda words: np.fromiter((b.vocabulary.get(x, -1) if (x := normal_word(w)) else -2 for w in words), np.int32, len(words))
+        counts, id_kind = np.zeros(b.total, np.int64), None
         for rows, texts in text_slices(batches, "text"):
-            table = worker_state("decontam", b, lambda: WordTable(numbers))
-            cut = [(t or "").split() for t in texts]
-            ids = table.rows([w for ws in cut for w in ws])
-            values = table.values[ids] if len(ids) else np.empty(0, np.int64)
-            row, begin, words, grams, places, at = [], [], [], [], [], 0
-            for r, ws in enumerate(cut):
-                v = values[at : at + len(ws)]
-                at += len(ws)
-                v = v[v != -2]
-                found, where = b.find(v)
-                for start, end in windows_of(v, where, reach) if len(where) else ():
-                    inside = (where >= start) & (where < end)
-                    row.append(r), begin.append(start), words.append(v[start:end].astype(np.int32)), grams.append(found[inside].astype(np.int32)), places.append((where[inside] - start).astype(np.int32))
-            lists = [pa.array(x, pa.list_(pa.int32())) for x in (words, grams, places)]
-            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(row, pa.int64())), pa.array(begin, pa.int32()), *lists], names=["doc_id", "start", "words", "grams", "places"])
-
-    return map_arrow(docs, run, f"doc_id {id_type}, start int, words array<int>, grams array<int>, places array<int>")
-
-
-def _align_windows(windows: DataFrame, block, seeds, threshold: float) -> DataFrame:
-    id_type = windows.schema["doc_id"].dataType.simpleString()
+            table, id_kind = worker_state("decontam", b, lambda: WordTable(numbers)), rows.schema.field(0).type
+            row, words = [], []
+            for r, text in enumerate(texts):
+                parts = []
+                for piece in text_pieces(text or ""):
+                    ids = table.rows(piece.split())
+                    if len(ids):
+                        v = table.values[ids]
+                        parts.append(v[v != -2])
+                v = parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0, np.int32)
+                found = np.unique(b.find(v)[0])
+                if len(found):
+                    counts[found] += 1
+                    row.append(r), words.append(v)
+            none = pa.nulls(len(row), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(row, pa.int64())), pa.array(words, pa.list_(pa.int32())), none, none], names=["doc_id", "words", "grams", "n"])
+        seen = np.flatnonzero(counts).astype(np.int32)
+        for at in range(0, len(seen), 100_000):
+            lists = [pa.array([x], pa.list_(pa.int32())) for x in (seen[at : at + 100_000], counts[seen[at : at + 100_000]].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_kind), pa.nulls(1, pa.list_(pa.int32())), *lists], names=["doc_id", "words", "grams", "n"])
+
+    return map_arrow(docs, run, f"doc_id {id_type}, words array<int>, grams array<int>, n array<int>", "words")
+
+
+def windows_of(block: Block, seeds: Seeds, words: np.ndarray, threshold: float) -> list[tuple[int, int, int]]:
+    """``(item, start, end)``: where an alignment of the item may lie in ``words``, by the seeds."""
+    grams, places = block.find(words)
+    n = seeds.begin[grams + 1] - seeds.begin[grams]
+    hit = np.repeat(np.arange(len(grams)), n)
+    if not len(hit):
+        return []
+    row = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n) + seeds.begin[grams[hit]]
+    item, place, gram, alone = seeds.item[row], places[hit], grams[hit], seeds.alone[row]
+    own, which = np.unique(item, return_inverse=True)
+    span = np.ceil((3 - 2 * threshold) * np.array([len(block.items[i]) for i in own])).astype(np.int64)[which]
+    order = np.lexsort((place, item))
+    item, place, gram, alone, span = (x[order] for x in (item, place, gram, alone, span))
+    # Other seeds need a different one of the item within the span.
+    near = (item[1:] == item[:-1]) & (place[1:] - place[:-1] <= span[1:]) & (gram[1:] != gram[:-1])
+    alone[1:] |= near
+    alone[:-1] |= near
+    item, place, span = (x[alone] for x in (item, place, span))
+    if not len(item):
+        return []
+    begins = np.r_[True, (item[1:] != item[:-1]) | (place[1:] - place[:-1] > 2 * span[1:])]
+    first = np.flatnonzero(begins)
+    last = np.r_[first[1:], len(item)] - 1
+    out = []
+    for i, start, end, s in zip(item[first].tolist(), (place[first] - span[first]).tolist(), (place[last] + span[last]).tolist(), span[first].tolist(), strict=True):
+        start, end = max(0, start), min(len(words), end)
+        while end - start > 8 * s:  # overlapping by a span, so that an alignment lies in one of them
+            out.append((i, start, start + 4 * s))
+            start += 3 * s
+        out.append((i, start, end))
+    return out
+
+
+def can_reach(items: list[np.ndarray], windows: list[np.ndarray], vocabulary: int, threshold: float) -> np.ndarray:
+    """Whether enough of each window's words are words of the item: a score needs half of it in matches."""
+    pair = np.repeat(np.arange(len(items)), [len(x) for x in items])
+    known = np.unique(pair * (vocabulary + 1) + np.concatenate(items))
+    owner = np.repeat(np.arange(len(windows)), [len(w) for w in windows])
+    words = np.concatenate(windows)
+    keys = owner * (vocabulary + 1) + words
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    hits = np.bincount(owner, (known[at] == keys) & (words >= 0), len(windows))
+    return hits >= np.array([math.ceil(threshold * len(x) - 1e-9) for x in items])
+
+
+def _align(encoded: DataFrame, block, seeds, threshold: float) -> DataFrame:
+    id_type = encoded.schema["doc_id"].dataType.simpleString()
+
+    def scored(b: Block, todo: list[tuple[int, int, int, np.ndarray]]) -> Iterator[tuple]:
+        items, windows = [b.items[i] for _, i, _, _ in todo], [w for _, _, _, w in todo]
+        todo = [x for x, able in zip(todo, can_reach(items, windows, len(b.vocabulary), threshold), strict=True) if able]
+        todo.sort(key=lambda x: max(len(x[3]), len(b.items[x[1]])))
+        while todo:
+            take, size = 1, lambda x: max(len(x[3]), len(b.items[x[1]]))
+            while take < len(todo) and (take + 1) * size(todo[take]) <= STEP_CELLS:
+                take += 1
+            group, todo = todo[:take], todo[take:]
+            items = [b.items[i] for _, i, _, _ in group]
+            best, end_i, end_j = align(items, [w for *_, w in group])
+            good = [k for k in range(len(group)) if best[k] >= threshold * MATCH * len(items[k])]
+            if good:
+                _, back_i, back_j = align([items[k][: end_i[k] + 1][::-1] for k in good], [group[k][3][: end_j[k] + 1][::-1] for k in good])
+                for k, bi, bj in zip(good, back_i.tolist(), back_j.tolist(), strict=True):
+                    r, item, start, _ = group[k]
+                    i, j = int(end_i[k]), int(end_j[k])
+                    yield r, b.ids[item], float(best[k]) / (MATCH * len(items[k])), start + j - bj, start + j + 1, i - bi, i + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b: Block = block.value
+        b, s = block.value, seeds.value
         for batch in batches:
-            todo = []
-            starts = batch.column(1).to_pylist()
-            for r, grams in enumerate(batch.column(3).to_pylist()):
-                todo += [(r, item) for item in sorted({i for g in set(grams) for i in seeds.value.get(g, ())})]
-            words = batch.column(2)
-            todo = sorted(((r, item, words[r].values.to_numpy().astype(np.int64)) for r, item in todo), key=lambda x: len(x[2]))
-            out = []
-            while todo:
-                width = len(todo[0][2])
-                take = 1
-                while take < len(todo) and (take + 1) * max(width, len(todo[take][2])) <= 400_000:
-                    take += 1
-                group, todo = todo[:take], todo[take:]
-                items = [b.items[i] for _, i, _ in group]
-                best, end_i, end_j = align(items, [w for _, _, w in group])
-                good = [k for k in range(len(group)) if best[k] >= threshold * MATCH * len(items[k])]
-                if good:
-                    _, back_i, back_j = align([items[k][: end_i[k] + 1][::-1] for k in good], [group[k][2][: end_j[k] + 1][::-1] for k in good])
-                    for k, bi, bj in zip(good, back_i.tolist(), back_j.tolist(), strict=True):
-                        r, item, _ = group[k]
-                        i, j = int(end_i[k]), int(end_j[k])
-                        out.append((r, b.ids[item], float(best[k]) / (MATCH * len(items[k])), starts[r] + j - bj, starts[r] + j + 1, i - bi, i + 1))
+            column, out, todo, cells = batch.column(1), [], [], 0
+            for r in range(batch.num_rows):
+                words = column[r].values.to_numpy()
+                for item, start, end in windows_of(b, s, words, threshold):
+                    todo.append((r, item, start, words[start:end]))
+                    cells += end - start + len(b.items[item])
+                    if cells > 2 * STEP_CELLS:
+                        out += scored(b, todo)
+                        todo, cells = [], 0
+            if todo:
+                out += scored(b, todo)
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             columns = [pa.array([x[c] for x in out], kind) for c, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(columns[0]), *columns[1:]], names=["doc_id", "item_id", "score", "doc_from", "doc_to", "item_from", "item_to"])
 
-    return map_arrow(windows, run, f"doc_id {id_type}, item_id long, score double, doc_from long, doc_to long, item_from long, item_to long")
+    return map_arrow(encoded.where("words IS NOT NULL").select("doc_id", "words"), run, f"doc_id {id_type}, item_id long, score double, doc_from long, doc_to long, item_from long, item_to long", "leaks")
 
 
 def benchmark_blocks(benchmark: DataFrame, block_chars: int, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
@@ -230,10 +297,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, threshold: float = THRE
         if not made.items:
             continue
         block = spark.sparkContext.broadcast(made)
-        windows = materialize(_find_windows(rows, block, n), "windows")
-        counts = windows.select(F.explode(F.array_distinct("grams")).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-        seeds = spark.sparkContext.broadcast(made.seeds({r.gram: r.n for r in counts.toLocalIterator()}, rare, n, span))  # as many as the block has grams
-        found.append(materialize(_align_windows(windows, block, seeds, threshold), "leaks"))
-        discard(windows)
+        encoded = _encode(rows, block)
+        each = encoded.where("grams IS NOT NULL").select(F.inline(F.arrays_zip("grams", "n"))).groupBy("grams").agg(F.sum("n").alias("n"))
+        counts = np.zeros(made.total, np.int64)
+        for gram, docs_with in each.toLocalIterator():  # as many as the block has grams
+            counts[gram] = docs_with
+        seeds = spark.sparkContext.broadcast(Seeds(made, counts, rare, span))
+        found.append(_align(encoded, block, seeds, threshold))
+        discard(encoded)
     best = reduce(DataFrame.union, found).groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "doc_from", "doc_to", "item_from", "item_to")).alias("best"))
     return best.select("doc_id", "item_id", "best.*")
