@@ -19,10 +19,18 @@ shingles in which the sets differ.  So any two that share a bucket end in one co
 or have been compared on full sets, or cannot be linked, while a bucket of n like texts
 costs n comparisons and texts that merely share a passage make no pairs.
 
+Comparisons run where the smaller number of rows meets: the sets, worked out once with the
+signatures, join the pairs by their larger end, and the pairs of a much-linked member are
+dealt over several tasks, each with one copy of its set.  Members of one bucket that are
+compared with each other are dealt over tasks in blocks, so no task holds a bucket's square.
+
+Documents are rows here, told apart by a row number; ids are only reported.
+
 Defined results: words are cut at the ASCII blanks; fewer words than a shingle make
 the whole sequence the only one; null, empty and blank texts have the empty set and
 are linked with nothing; a null ``doc_id`` stays alone, with a null component;
-repeated rows of one id share its result; an empty table gives no rows; extra columns
+rows that repeat an id are documents of their own, so each has the component of its own text, and ``kept`` is
+true for all of a component's rows with its smallest id (``first`` for one of them); an empty table gives no rows; extra columns
 are ignored; whole texts are read, of any length.
 """
 
@@ -38,7 +46,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..storage import discard, materialize
-from .common import WordTable, map_arrow, text_slices, worker_state
+from .common import WordTable, bounded_broadcast, map_arrow, numbered_rows, text_pieces, text_slices, worker_state
 
 WORDS = 5
 #: Links need 100 * intersection >= THRESHOLD * union.
@@ -46,6 +54,8 @@ THRESHOLD = 75
 HALF_KEYS, HALF_SIZE = 14, 3
 #: 64-bit words of a set's parity sketch.
 SKETCH = 32
+#: Pairs of one member compared in one task, and members of one bucket's block, about.
+HUB, BLOCK = 256, 512
 
 _MASK = (1 << 64) - 1
 
@@ -66,22 +76,27 @@ def _hash_words(words: list[bytes]) -> np.ndarray:
 def shingle_sets(texts: list[bytes | None], words: int = WORDS) -> list[np.ndarray]:
     """Each text's sorted distinct shingle hashes (64 bits), A-Z lower-cased, words cut at ASCII blanks."""
     table = worker_state("minhash", None, lambda: WordTable(_hash_words))
-    cut = [(t or b"").lower().split() for t in texts]
-    ids = table.rows([w for ws in cut for w in ws])
-    hashes = table.values[ids] if len(ids) else np.empty(0, np.uint64)
     odd = [np.uint64((0x9E3779B97F4A7C15 * (2 * j + 1)) & _MASK) for j in range(words)]
-    out, at = [], 0
-    for ws in cut:
-        h = hashes[at : at + len(ws)]
-        at += len(ws)
+    out = []
+    for text in texts:
+        parts = []
+        for piece in text_pieces(text or b""):
+            ids = table.rows(piece.lower().split())
+            if len(ids):
+                parts.append(table.values[ids])
+        h = parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0, np.uint64)
         if not len(h):
-            out.append(np.empty(0, np.uint64))
+            out.append(h)
             continue
-        n = max(1, len(h) - words + 1)
-        total = np.full(n, min(len(h), words), np.uint64)
-        for j in range(min(len(h), words)):
-            total = _mix(total + h[j : j + n] * odd[j])
-        out.append(np.unique(total))
+        k, n = min(len(h), words), max(1, len(h) - words + 1)
+        made = np.empty(n, np.uint64)
+        for at in range(0, n, 1 << 20):
+            some = min(1 << 20, n - at)
+            total = np.full(some, k, np.uint64)
+            for j in range(k):
+                total = _mix(total + h[at + j : at + j + some] * odd[j])
+            made[at : at + some] = total
+        out.append(np.unique(made))
     return out
 
 
@@ -116,9 +131,10 @@ def may_link(threshold: int) -> Column:
     return differ * (100 + threshold) <= (F.col("x.n_shingles") + F.col("y.n_shingles")) * (100 - threshold)
 
 
-def signatures(docs: DataFrame, *, words: int = WORDS, m: int = HALF_KEYS, k: int = HALF_SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_shingles, set1, set2, first, second, sketch)``: a 128-bit digest of the set, both half-key collections and
-    the parity sketch."""
+def signatures(docs: DataFrame, *, words: int = WORDS, m: int = HALF_KEYS, k: int = HALF_SIZE, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """``(doc_id, row, n_shingles, set1, set2, first, second, sketch, shingles)``, written: a 128-bit digest of the set, both
+    half-key collections, the parity sketch and the sorted set itself."""
+    marked, row = (docs, row_col) if row_col else numbered_rows(docs)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,97 +145,107 @@ def signatures(docs: DataFrame, *, words: int = WORDS, m: int = HALF_KEYS, k: in
             lists = [pa.array([None if x is None else x[part] for x in keys], pa.list_(pa.int64())) for part in (slice(0, m), slice(m, None))]
             sketches = pa.array([parity_sketch(s) if len(s) else None for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), *lists, sketches],
-                names=["doc_id", "n_shingles", "set1", "set2", "first", "second", "sketch"],
+                [rows.column(0), rows.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), *lists, sketches, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                names=["doc_id", "row", "n_shingles", "set1", "set2", "first", "second", "sketch", "shingles"],
             )
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return map_arrow(rows, run, f"doc_id {id_type}, n_shingles long, set1 long, set2 long, first array<long>, second array<long>, sketch array<long>")
-
-
-def full_sets(docs: DataFrame, *, words: int = WORDS) -> DataFrame:
-    """``(doc_id, shingles)`` of ``(doc_id, text)``: the sorted distinct shingle hashes."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in text_slices(batches, "text"):
-            sets = [s.view(np.int64) for s in shingle_sets(texts, words)]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
-
-    return map_arrow(docs.select("doc_id", F.col("text").cast("binary").alias("text")), run, f"doc_id {id_type}, shingles array<long>")
+    schema = f"doc_id {id_type}, row long, n_shingles long, set1 long, set2 long, first array<long>, second array<long>, sketch array<long>, shingles array<long>"
+    return map_arrow(marked.select(F.col(id_col).alias("doc_id"), F.col(row).alias("row"), F.col(text_col).cast("string").cast("binary").alias("text")), run, schema, "signatures")
 
 
 def bucket_members(reps: DataFrame) -> DataFrame:
-    """``(key, doc_id, n_shingles)`` of all tables' buckets that at least two classes share."""
-    first = reps.select("doc_id", F.posexplode("first").alias("i", "half"))
+    """``(key, row, n_shingles, rep)`` of all tables' buckets that at least two classes share."""
+    first = reps.select("row", F.posexplode("first").alias("i", "half"))
     shared = first.groupBy("i", "half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("i", "half")
-    live = first.join(shared, ["i", "half"], "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("i", "half")).alias("halves"))
-    second = reps.select("doc_id", "n_shingles", "second").join(live, "doc_id")
-    crossed = second.select("doc_id", "n_shingles", "second", F.explode("halves").alias("f")).select("doc_id", "n_shingles", "f", F.posexplode("second").alias("j", "s"))
-    keys = crossed.select(F.xxhash64("f.i", "f.half", "j", "s").alias("key"), "doc_id", "n_shingles")
+    live = first.join(shared, ["i", "half"], "left_semi").groupBy("row").agg(F.collect_list(F.struct("i", "half")).alias("halves"))
+    second = reps.select("row", "n_shingles", "second").join(live, "row")
+    crossed = second.select("row", "n_shingles", "second", F.explode("halves").alias("f")).select("row", "n_shingles", "f", F.posexplode("second").alias("j", "s"))
+    keys = crossed.select(F.xxhash64("f.i", "f.half", "j", "s").alias("key"), "row", "n_shingles")
     keys = materialize(keys, "tables")
-    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("rep")).where("n > 1").select("key", "rep")
+    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("rep")).where("n > 1").select("key", "rep")
     return keys.join(buckets, "key")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets meet the threshold, with their intersection."""
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+    """The pairs ``(a, b)`` whose full sets meet the threshold, with their intersection.
+
+    The pairs of one ``a`` are dealt over tasks, at most some ``HUB`` to each, which have a copy of its set each.
+    """
+    hubs = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", F.ceil(F.col("n") / HUB).cast("int").alias("parts"))
+    dealt = pairs.join(hubs.where("parts > 1"), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    left = hubs.join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("sa")), "a").select("a", "sa", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    right = dealt.join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("sb")), "b")
+    both = right.join(left, ["a", "part"])
     common = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
     return common.where(100 * F.col("common") >= threshold * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b", "common")
 
 
-def minhash_components(docs: DataFrame, *, words: int = WORDS, threshold: int = THRESHOLD, m: int = HALF_KEYS, k: int = HALF_SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)``, one row a document."""
-    sig = materialize(signatures(docs, words=words, m=m, k=k, id_col=id_col, text_col=text_col), "signatures")
+def bucket_pairs(rest: DataFrame, threshold: int) -> DataFrame:
+    """``(a, b)``: members of one bucket in unlike components whose sketches allow a link.
+
+    A bucket of n members is cut into about ``n / BLOCK`` blocks by a hash, and pairs of blocks are dealt over tasks.
+    """
+    blocks = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = rest.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    cells = placed.select("*", others).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    x, y = cells.where("block <= other").alias("x"), cells.where("block >= other").alias("y")
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
+    apart_yet = ((F.col("x.block") < F.col("y.block")) | (F.col("x.row") < F.col("y.row"))) & (F.col("x.comp") != F.col("y.comp"))
+    met = x.join(y, same & apart_yet & may_link(threshold))
+    return met.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct()
+
+
+def minhash_components(docs: DataFrame, *, words: int = WORDS, threshold: int = THRESHOLD, m: int = HALF_KEYS, k: int = HALF_SIZE, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """``(doc_id, row, n_shingles, component_id, kept, first)``, one row a document.  ``kept`` marks the component's smallest
+    id, ``first`` the one row of the component with the smallest id and row number (a row that is linked with nothing is its own)."""
+    sig = signatures(docs, words=words, m=m, k=k, id_col=id_col, text_col=text_col, row_col=row_col)
     full = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("set1", "set2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    classes = materialize(classes, "classes")
-    reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    classes = materialize(full.groupBy("set1", "set2").agg(F.min("row").alias("rep"), F.min(F.struct("doc_id", "row")).alias("least"), F.count(F.lit(1)).alias("n")), "classes")
+    reps = full.join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
     members = materialize(bucket_members(reps), "buckets")
 
     fits = 100 * F.least("n_shingles", "n_rep") >= threshold * F.greatest("n_shingles", "n_rep")
-    stars = members.where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), "n_shingles").distinct()
-    stars = stars.join(reps.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_rep")), "a").where(fits).select("a", "b")
+    stars = members.where("rep <> row").select(F.col("rep").alias("a"), F.col("row").alias("b"), "n_shingles").distinct()
+    stars = stars.join(reps.select(F.col("row").alias("a"), F.col("n_shingles").alias("n_rep")), "a").where(fits).select("a", "b")
     stars = materialize(stars, "stars")
-
-    needed = members.select("doc_id").distinct()
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
-    sets = materialize(full_sets(texts.join(needed, "doc_id", "left_semi"), words=words), "sets")
+    needed = materialize(members.select("row").distinct(), "needed")
+    sets = materialize(sig.select("row", "shingles").join(bounded_broadcast(needed), "row", "left_semi"), "sets")
 
     tried = materialize(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
     links = materialize(confirm(tried, sets, threshold), "links").select("a", "b")
     comps = connected_components(links)
-    more = apart(stars.join(tried, ["a", "b"], "left_anti"), comps)
+    more = materialize(apart(stars.join(tried, ["a", "b"], "left_anti"), comps), "more")
     links2 = materialize(confirm(more, sets, threshold), "links").select("a", "b")
     links = links.union(links2)
     if not links2.isEmpty():
         comps = connected_components(links)
 
     # What a bucket still holds apart: members in other components that were never compared.
-    labelled = members.select("key", "doc_id", "n_shingles").join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    labelled = members.select("key", "row", "n_shingles").join(comps.withColumnRenamed("id", "row"), "row", "left").withColumn("comp", F.coalesce("comp", "row"))
     labelled = materialize(labelled, "labelled")
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi AND n > 2").select("key")
-    bits = reps.select("doc_id", *[F.element_at("sketch", i + 1).alias(f"s{i}") for i in range(SKETCH)])
-    rest = labelled.join(mixed, "key", "left_semi").join(bits, "doc_id")
-    x, y = rest.alias("x"), rest.alias("y")
-    apart_yet = (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.comp") != F.col("y.comp"))
-    pairs = x.join(y, apart_yet & may_link(threshold)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    links3 = materialize(confirm(pairs.join(stars, ["a", "b"], "left_anti"), sets, threshold), "links").select("a", "b")
+    bits = reps.select("row", *[F.element_at("sketch", i + 1).alias(f"s{i}") for i in range(SKETCH)])
+    rest = labelled.join(mixed, "key", "left_semi").join(bits, "row")
+    pairs = materialize(bucket_pairs(rest, threshold).join(stars, ["a", "b"], "left_anti"), "residue")
+    links3 = materialize(confirm(pairs, sets, threshold), "links").select("a", "b")
     if not links3.isEmpty():
         comps = connected_components(links.union(links3))
-    for used in (members, labelled, sets, stars, tried):
+    for used in (members, needed, sets, labelled, stars, tried, more, pairs):
         discard(used)
 
-    groups = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").where("n > 1 OR comp IS NOT NULL")
-    out = sig.select("doc_id", "n_shingles", "set1", "set2").join(groups.select("set1", "set2", F.coalesce("comp", "rep").alias("comp")), ["set1", "set2"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    # The smallest id of each component, over all rows of its classes.
+    labels = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").where("n > 1 OR comp IS NOT NULL").withColumn("comp", F.coalesce("comp", "rep"))
+    least = labels.groupBy("comp").agg(F.min("least").alias("least"))
+    groups = labels.select("set1", "set2", "comp").join(least, "comp").select("set1", "set2", "least")
+    out = sig.select("doc_id", "row", "n_shingles", "set1", "set2").join(groups, ["set1", "set2"], "left")
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull() & F.col("least").isNotNull()
+    component = F.when(linked, F.col("least.doc_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "row", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.when(linked, F.col("row") == F.col("least.row")).otherwise(True).alias("first"))
 
 
 def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components (an id without links is its own)."""
+    """The pairs whose ends are in different components (a row without links is its own)."""
     a = comps.select(F.col("id").alias("a"), F.col("comp").alias("ca"))
     b = comps.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
     both = pairs.join(a, "a", "left").join(b, "b", "left")
