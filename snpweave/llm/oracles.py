@@ -10,7 +10,7 @@ LOWER_AZ = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 OP8 = f"""
 WITH n AS (SELECT doc_id, {LOWER_AZ.format("text")} AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
-       doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+       row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
 FROM n
 """
 
@@ -59,21 +59,25 @@ FROM t LEFT JOIN a ON a.doc_id = t.doc_id
 
 _QUOTED = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 _PLACES = " UNION ALL ".join(
-    f"SELECT doc_id, '{label}' AS label, i FROM w, unnest(range(len(ws))) u(i) WHERE ws[i + 1] = '{p.split()[0]}' AND ws[i + 1:i + {len(p.split())}] = {_QUOTED(p.split())}" for p, label in PHRASES
+    f"SELECT r, '{label}' AS label, i FROM w, unnest(range(len(ws))) u(i) WHERE ws[i + 1] = '{p.split()[0]}' AND ws[i + 1:i + {len(p.split())}] = {_QUOTED(p.split())}" for p, label in PHRASES
 )
-_TEMPLATES = ", ".join(f"('{label}', {_QUOTED(sorted(set(text.split())))}, {need(len(set(text.split())), THRESHOLD)})" for label, text in TEMPLATES)
+_TEMPLATES = ", ".join(f"('{label}', {_QUOTED(sorted(set(text.split())))}, {need(len(set(text.split())), THRESHOLD)}, {2 * len(text.split())})" for label, text in TEMPLATES)
 
+#: Blocks are the lines, and every run of words (or the whole, if shorter) of twice a template's length.
 OP9 = f"""
-WITH t AS (SELECT doc_id, {LOWER_AZ.format("text")} AS x FROM documents), w AS (SELECT doc_id, regexp_extract_all(x, '{WORD}') AS ws FROM t),
-p AS ({_PLACES}), b AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM p GROUP BY doc_id),
-l AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(x, chr(10))), '{WORD}')) AS block FROM t),
-c AS (SELECT doc_id, label, len(list_intersect(block, tw)) / len(tw) AS share FROM l, (VALUES {_TEMPLATES}) v(label, tw, least) WHERE len(list_intersect(block, tw)) >= least),
-y AS (SELECT doc_id, label FROM p UNION SELECT doc_id, label FROM c),
-bl AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT DISTINCT doc_id, label FROM p) GROUP BY doc_id),
-al AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM y GROUP BY doc_id), best AS (SELECT doc_id, max(share) AS best FROM c GROUP BY doc_id)
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, {LOWER_AZ.format("text")} AS x FROM documents), w AS (SELECT r, doc_id, x, regexp_extract_all(x, '{WORD}') AS ws FROM t),
+p AS ({_PLACES}), b AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM p GROUP BY r), v(label, tw, least, width) AS (VALUES {_TEMPLATES}),
+l AS (SELECT r, list_distinct(regexp_extract_all(unnest(string_split(x, chr(10))), '{WORD}')) AS block FROM t),
+open AS (SELECT r, ws, label, tw, least, width FROM w, v WHERE len(list_intersect(list_distinct(ws), tw)) >= least),
+c AS (SELECT r, label, len(list_intersect(block, tw)) / len(tw) AS share FROM l, v WHERE len(list_intersect(block, tw)) >= least
+  UNION ALL SELECT r, label, share FROM (SELECT r, label, least, len(tw) AS size, len(list_intersect(list_distinct(ws[i:i + width - 1]), tw)) AS common, common / size AS share
+    FROM open, unnest(range(1, 2 + greatest(0, len(ws) - width))) u(i)) WHERE common >= least),
+y AS (SELECT r, label FROM p UNION SELECT r, label FROM c),
+bl AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT DISTINCT r, label FROM p) GROUP BY r),
+al AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels FROM y GROUP BY r), best AS (SELECT r, max(share) AS best FROM c GROUP BY r)
 SELECT w.doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(bl.labels, '') AS base_labels, coalesce(al.labels, '') AS labels,
        CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0)::DOUBLE END AS score
-FROM w LEFT JOIN b ON b.doc_id = w.doc_id LEFT JOIN bl ON bl.doc_id = w.doc_id LEFT JOIN al ON al.doc_id = w.doc_id LEFT JOIN best ON best.doc_id = w.doc_id
+FROM w LEFT JOIN b ON b.r = w.r LEFT JOIN bl ON bl.r = w.r LEFT JOIN al ON al.r = w.r LEFT JOIN best ON best.r = w.r
 """
 
 
