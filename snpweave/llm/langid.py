@@ -13,10 +13,16 @@ and then chained, which gives the same marginals as one long pass.  A document's
 is the one with the largest sum of marginals over its words with letters, its score the
 mean of that marginal.
 
+A long text is worked through in pieces: a first pass chains their transition products, a
+second gives each piece's marginals from what comes in at both its ends.
+
+Every language that has labelled rows is learnt.  ``FEATURES`` is the model's size: the features that most sampled texts
+have; rarer ones are not used.
+
 Defined results: null texts and texts without a letter give ``und`` with score 0, as does
 everything where no labelled row exists; rows with null language are never learnt from;
-ties go to the first language in order; repeated ids are rows of their own; an empty table
-gives no rows; extra columns are ignored; whole texts are read, of any length.
+ties go to the first language in order; repeated ids are rows of their own (one of their texts may be
+sampled, with the least of their labels); an empty table gives no rows; extra columns are ignored; whole texts are read, of any length.
 """
 
 from __future__ import annotations
@@ -31,11 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, held_out, map_arrow, sample_labelled, text_slices, worker_state
+from .common import WordTable, held_out, map_arrow, numbered_rows, sample_labelled, text_pieces, text_slices, without_rows, worker_state
 
 UNKNOWN = "und"
-#: Documents of each language to learn from at most, languages at most (the most frequent), features kept.
-SAMPLE, LANGUAGES, FEATURES = 300, 60, 60_000
+#: Documents of each language to learn from at most, features kept.
+SAMPLE, FEATURES = 300, 60_000
 #: Frequent words of a language in its lexicon.
 LEXICON = 100
 #: Spliced training sequences, their words, mean stretch of one language, passes, learning rate, weight decay.
@@ -44,9 +50,14 @@ SEQUENCES, LENGTH, STRETCH, EPOCHS, RATE, DECAY = 2400, 60, 15, 4, 0.3, 1e-6
 SEGMENT = 64
 SEED = 3
 
-#: Characters of text in one step of a worker.
+#: Characters of text in one step of a worker, with up to eight languages; fewer with more.
 STEP_CHARS = 600_000
 
+
+def step_chars(model: Crf | None) -> int:
+    return STEP_CHARS * 8 // max(8, len(model.languages) if model is not None else 0)
+
+
 _LETTER = re.compile(r"[^\W\d_]")
 _SIGNS = string.punctuation + "¿¡«»„“”‚‘’…–—"
 _ODD = [np.uint64((0x9E3779B97F4A7C15 * (2 * j + 1)) & 0xFFFFFFFFFFFFFFFF) for j in range(5)]
@@ -174,8 +185,19 @@ class Crf:
                     param += RATE * g / np.sqrt(g2[q])
 
     # -- labelling -------------------------------------------------------------------------------
-    def marginals(self, e: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Marginals of texts laid end to end, ``sizes`` words each: exact forward-backward, in segments side by side."""
+    def marginals(self, e: np.ndarray, sizes: np.ndarray, enter: np.ndarray | None = None, leave: np.ndarray | None = None) -> np.ndarray:
+        """Marginals of texts laid end to end, ``sizes`` words each: exact forward-backward, in segments side by side.
+
+        ``enter (text, language)`` and ``leave`` are the messages into a text's first word and its last, where texts are
+        parts of longer ones; a row of ``enter`` that is NaN is a beginning.
+        """
+        return self._segments(e, sizes, enter, leave)
+
+    def product(self, e: np.ndarray, opening: bool) -> np.ndarray:
+        """The transition product over one text part, normalised."""
+        return self._segments(e, np.array([len(e)]), np.full((1, len(self.languages)), np.nan if opening else 1.0), None, product_only=True)
+
+    def _segments(self, e: np.ndarray, sizes: np.ndarray, enter: np.ndarray | None, leave: np.ndarray | None, product_only: bool = False) -> np.ndarray:
         k, total = len(self.languages), len(e)
         if not total:
             return np.zeros((0, k))
@@ -190,6 +212,8 @@ class Crf:
         x = np.exp(e - e.max(axis=1, keepdims=True))[where]  # segment, time, language
         live = at < length[:, None]
         opens = nth == 0
+        if enter is not None:
+            opens &= np.isnan(enter[:, 0])[doc]
         first = np.where(opens[:, None, None], np.broadcast_to(s, (k, k)), t)  # into a segment's first word
         # Products of each segment, then the chain of segments inside each document.
         product = first * x[:, 0][:, None, :]
@@ -201,7 +225,18 @@ class Crf:
             step = (product[on] @ t) * x[on, i][:, None, :]
             product[on] = step / step.sum(axis=(1, 2), keepdims=True)
         into, out = np.full((m, k), 1.0 / k), np.ones((m, k))
+        if enter is not None:
+            into[nth == 0] = np.where(np.isnan(enter), 1.0 / k, enter)[doc[nth == 0]]
+        if leave is not None:
+            final = nth == segments[doc] - 1
+            out[final] = leave[doc[final]]
         last = segments.max()
+        if product_only:
+            whole = np.eye(k)
+            for p in product:
+                whole = whole @ p
+                whole /= whole.sum()
+            return whole
         for j in range(1, last):
             on = np.flatnonzero(nth == j)
             step = np.einsum("mi,mij->mj", into[on - 1], product[on - 1])
@@ -274,27 +309,67 @@ def learn(docs: DataFrame, *, per_language: int = SAMPLE, lang_col: str = "lang"
     """Fit on a bounded sample of the rows with a language that are not held out."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL")
     rows = rows.where(~held_out(F.col("doc_id")))
-    common = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    known = rows.where(F.col("lang").isin(common) if common else F.lit(False)).select("doc_id", F.col("lang").alias("label")).groupBy("doc_id").agg(F.min("label").alias("label"))
+    known = rows.groupBy("doc_id").agg(F.min("lang").alias("label"))
     return fit([(r.label, r.text) for r in sample_labelled(rows.select("doc_id", "text"), known, per_language, SEED)])
 
 
 def keep_languages(docs: DataFrame, model: Crf | None, *, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose language is known with a score of at least ``least``."""
-    sent, schema = docs.sparkSession.sparkContext.broadcast(model), docs.schema
-    at = docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_slices((b.rename_columns([str(i) for i in range(b.num_columns)]) for b in batches), str(at), STEP_CHARS):
-            lang, score, _ = label_texts(sent.value, texts)
-            keep = [x != UNKNOWN and y >= least for x, y in zip(lang, score.tolist(), strict=True)]
-            yield part.filter(pa.array(keep, pa.bool_())).rename_columns(schema.names)
-
-    return map_arrow(docs, run, schema)
+    marked, row = numbered_rows(docs)
+    tagged = tag_languages(marked, model, id_col=row, text_col=text_col)
+    rejected = tagged.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least))
+    return without_rows(marked, row, rejected.select(F.col("doc_id").alias(row)))
+
+
+def label_long(model: Crf, text: str, spans: bool) -> tuple[str, float, list[dict]]:
+    """Language, score and spans of one long text, a piece at a time."""
+    def emissions() -> Iterator[np.ndarray]:
+        for piece in text_pieces(text, step_chars(model)):
+            table = worker_state("langid", model, lambda: WordTable(model.emissions, 200_000))
+            ids = table.rows(piece.split())
+            if len(ids):
+                yield table.values[ids]
+
+    products = [model.product(e[:, :-1].astype(np.float64), n == 0) for n, e in enumerate(emissions())]
+    k = len(model.languages)
+    if not products:
+        return UNKNOWN, 0.0, []
+    into, out = [np.full(k, np.nan)], [np.ones(k)]
+    for n, p in enumerate(products[:-1]):
+        step = (np.full(k, 1.0 / k) if n == 0 else into[-1]) @ p
+        into.append(step / step.sum())
+    for p in products[:0:-1]:
+        step = p @ out[-1]
+        out.append(step / step.sum())
+    out.reverse()
+    sums, letters, runs, at = np.zeros(k), 0.0, [], 0
+    for n, e in enumerate(emissions()):
+        p = model.marginals(e[:, :-1].astype(np.float64), np.array([len(e)]), into[n][None], out[n][None])
+        sums += np.where(e[:, -1:] > 0, p, 0).sum(axis=0)
+        letters += float(e[:, -1].sum())
+        if spans:
+            for x in stretches(model, p, at):
+                if runs and runs[-1]["lang"] == x["lang"]:
+                    runs[-1]["last"] = x["last"]
+                else:
+                    runs.append(x)
+        at += len(e)
+    best = int(sums.argmax())
+    return (model.languages[best], min(1.0, sums[best] / letters), runs) if letters else (UNKNOWN, 0.0, runs)
+
+
+def stretches(model: Crf, p: np.ndarray, at: int) -> list[dict]:
+    """Runs of words of one language, by the largest marginal, from word number ``at`` on."""
+    own = p.argmax(axis=1)
+    ends = np.flatnonzero(np.r_[own[1:] != own[:-1], True])
+    return [{"first": int(a) + at, "last": int(b) + at, "lang": model.languages[own[b]]} for a, b in zip(np.r_[0, ends[:-1] + 1], ends, strict=True)]
 
 
 def label_texts(model: Crf | None, texts: list[str | None], spans: bool = False) -> tuple[list[str], np.ndarray, list[list[dict]]]:
     """Language, score and (if asked for) spans of whole texts."""
+    if model is not None and len(texts) == 1 and len(texts[0] or "") > 2 * step_chars(model):
+        lang, score, runs = label_long(model, texts[0], spans)
+        return [lang], np.array([score]), [runs]
     cut = [(t or "").split() if model is not None else [] for t in texts]
     sizes = np.array([len(ws) for ws in cut], np.int64)
     lang, score, runs = [UNKNOWN] * len(cut), np.zeros(len(cut)), [[] for _ in cut]
@@ -313,11 +388,8 @@ def label_texts(model: Crf | None, texts: list[str | None], spans: bool = False)
         if letters[i]:
             lang[d], score[d] = model.languages[best[i]], min(1.0, sums[i, best[i]] / letters[i])
     if spans:
-        top = p.argmax(axis=1)
         for d, s in zip(filled.tolist(), starts.tolist(), strict=True):
-            own = top[s : s + sizes[d]]
-            ends = np.flatnonzero(np.r_[own[1:] != own[:-1], True])
-            runs[d] = [{"first": int(a), "last": int(b), "lang": model.languages[own[b]]} for a, b in zip(np.r_[0, ends[:-1] + 1], ends, strict=True)]
+            runs[d] = stretches(model, p[s : s + sizes[d]], 0)
     return lang, score, runs
 
 
@@ -329,7 +401,7 @@ def tag_languages(docs: DataFrame, model: Crf | None, *, spans: bool = False, id
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_slices(batches, "text", STEP_CHARS):
+        for part, texts in text_slices(batches, "text", step_chars(sent.value)):
             lang, score, runs = label_texts(sent.value, texts, spans)
             columns, names = [part.column(0), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"]
             if spans:
@@ -338,4 +410,4 @@ def tag_languages(docs: DataFrame, model: Crf | None, *, spans: bool = False, id
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     more = ", spans array<struct<first:int,last:int,lang:string>>" if spans else ""
-    return map_arrow(rows, run, f"doc_id {id_type}, lang_pred string, score double{more}")
+    return map_arrow(rows, run, f"doc_id {id_type}, lang_pred string, score double{more}", "languages")
