@@ -27,8 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
-from .common import map_arrow, text_slices, worker_state
+from .common import SLICE_CHARS, map_arrow, text_slices, worker_state
 
 #: Words kept with their ids in one worker (about 50 MB).
 CACHE_WORDS = 250_000
@@ -37,6 +36,11 @@ CACHE_CHARS = 64
 
 # The split of the word tokenizer, and the same split on lower-cased ASCII and Latin-1 letters.
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [{"type": "Split", "pattern": {"Regex": WORD_SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
+}
 PLAIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
 
@@ -55,7 +59,8 @@ class WordEncoder:
     are its words' ids joined, and words are kept in a bounded table.  Only blanks and
     line feeds are taken as cuts.  A new word of ASCII signs and Latin-1 letters is
     split here and handed to the merge model at once; any other word, and any other
-    tokenizer's whole text, goes through the full tokenizer.
+    tokenizer's whole text, goes through the full tokenizer.  The way by words is taken only for the very normalizer and
+    split that are stated above.
     """
 
     def __init__(self, blob: str):
@@ -64,8 +69,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(blob)
         self.model = self.tokenizer.model
-        steps = (json.loads(blob).get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        self.by_word = (steps[0].get("pattern") or {}).get("Regex") == WORD_SPLIT
+        made = json.loads(blob)
+        self.by_word = made.get("normalizer") == NORMALIZER and made.get("pre_tokenizer") == PRE_TOKENIZER
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "HI"[self.dtype.itemsize // 4]
         self.letters = byte_letters()
@@ -86,6 +91,8 @@ class WordEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_word:
             return self.full([t or "" for t in texts])
+        if len(texts) == 1 and len(texts[0] or "") > SLICE_CHARS:
+            return [b"".join(self.encode([piece])[0] for piece in _cut(texts[0]))]
         cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self.words) > CACHE_WORDS:
             self.words = {}
@@ -102,6 +109,15 @@ class WordEncoder:
         return [b"".join(map(get, words)) for words in cut]
 
 
+def _cut(text: str) -> Iterator[str]:
+    """A long text in pieces that end at a blank or line feed; a piece without one is as long as the word it holds."""
+    at = 0
+    while at < len(text):
+        end = min((x for x in (text.find(c, at + SLICE_CHARS // 2) for c in " \n") if x >= 0), default=len(text) - 1) + 1
+        yield text[at:end]
+        at = end
+
+
 def encoder(blob: str) -> WordEncoder:
     """This worker's encoder; Spark reuses workers, so the vocabulary is parsed once a worker."""
     return worker_state("packing", blob, lambda: WordEncoder(blob))
@@ -128,14 +144,14 @@ def tokenize(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, id_col: s
             )
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return map_arrow(rows, run, f"doc_id {id_type}, part long, local_start long, n_tokens long, ids binary")
+    return map_arrow(rows, run, f"doc_id {id_type}, part long, local_start long, n_tokens long, ids binary", "tokens")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, *, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a piece: ``doc_id, start, length, doc_tokens, sequence_id, offset, ids`` with ids as little-endian
     unsigned 32-bit integers.  Every sequence but the last is full."""
     spark = docs.sparkSession
-    tokens = materialize(tokenize(docs, tokenizer_path, end_id=end_id, id_col=id_col, text_col=text_col), "tokens")
+    tokens = tokenize(docs, tokenizer_path, end_id=end_id, id_col=id_col, text_col=text_col)
     totals = tokens.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # one row a partition
     base, at = {}, 0
     for part, n in totals:
@@ -168,4 +184,4 @@ def pack(docs: DataFrame, tokenizer_path: str, *, window: int = 2048, end_id: in
                     names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
                 )
 
-    return map_arrow(tokens, cut, f"doc_id {id_type}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return tokens.mapInArrow(cut, f"doc_id {id_type}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
