@@ -56,6 +56,31 @@ def test_segments_give_the_same_marginals():
         at += n
 
 
+def test_a_long_text_in_pieces_is_labelled_alike(monkeypatch):
+    rng = random.Random(4)
+    model = langid.fit([("xx", " ".join(rng.choice(("kasoma", "tuloda", "baro", "numaso")) for _ in range(40))), ("yy", " ".join(rng.choice(("keyite", "siniry", "medyli", "12", "-")) for _ in range(40)))] * 5)
+    text = " ".join(rng.choice(("kasoma", "tuloda", "keyite", "siniry", "12", "new")) for _ in range(900))
+    want = langid.label_texts(model, [text], True)
+    monkeypatch.setattr(langid, "STEP_CHARS", 500)
+    got = langid.label_texts(model, [text], True)
+    assert got[0] == want[0] and np.allclose(got[1], want[1]) and got[2] == want[2]
+    assert langid.label_texts(model, ["1 " * 2000], True)[:2] == (["und"], np.zeros(1))
+
+
+def test_every_language_is_learnt(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}", f"l{i % 90}") for i in range(2000)] + [(7, "text", "l3"), (None, "x", None)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "fit", lambda rows: rows)
+    rows = langid.learn(docs, per_language=3)
+    assert len({lang for lang, _ in rows}) == 90 and len(rows) <= 270
+
+
+def test_sampled_texts_are_bounded(spark):
+    docs = spark.createDataFrame([(1, "a" * 900), (1, "b"), (2, "c" * 500), (3, None), (4, "d")], "doc_id long, text string")
+    known = spark.createDataFrame([(i, "l") for i in range(1, 5)], "doc_id long, label string")
+    rows = common.sample_labelled(docs, known, 10, 1, chars=100)
+    assert [r.doc_id for r in rows] == [1, 2, 3, 4] and max(len(r.text or "") for r in rows) == 100
+
+
 def test_posteriors_by_enumeration():
     from itertools import product
 
@@ -94,6 +119,9 @@ def test_toxicity(spark, tables, edge, none):
     want = {r.doc_id: r.toxic for r in labels.collect()}
     held = [i for i in rows if rows[i].held_out]
     assert np.mean([rows[i].predicted == want[i] for i in held]) > 0.9
+    assert all(r.predicted == int(r.score >= 0.7) for r in rows.values())
+    twice = labels.union(labels.selectExpr("doc_id", "quality", "0 AS toxic"))  # of unlike labels the largest counts
+    assert {r.doc_id: r.score for r in toxicity.toxicity_scores(docs, twice).collect()} == {i: r.score for i, r in rows.items()}
     assert len(toxicity.toxicity_scores(edge, labels).collect()) == edge.count() and toxicity.toxicity_scores(none, labels).count() == 0
     assert {r.score for r in toxicity.toxicity_scores(docs, labels.where("false")).collect()} == {0.0}
 
@@ -125,7 +153,7 @@ def test_convolution_of_ragged_texts_equals_padded():
     texts = [["one", "two", "three", "four"], [], ["five"], ["six", "seven"]]
     ids = [model.rows(toxicity.pieces(t)) for t in texts]
     words = [w for t in texts for w in t]
-    got = model.logits(model.terms(words), np.arange(len(words)), np.array([len(t) for t in texts]))
+    got = model.logits(model.pooled(model.terms(words), np.arange(len(words)), np.array([len(t) for t in texts])))
     for t, row, g in zip(texts, ids, got):
         padded = np.full((1, len(t) + 3, toxicity.PARTS), -1, np.int32)
         padded[0, : len(t)] = row
@@ -133,6 +161,62 @@ def test_convolution_of_ragged_texts_equals_padded():
         assert np.isclose((p @ model.out + model.out_bias)[0], g, atol=1e-5)
 
 
+def test_gradients():
+    """A small step along what training changes lowers the loss by what the derivatives say."""
+    rng = np.random.default_rng(0)
+    model = toxicity.ConvText(np.arange(1, 40))
+    texts, labels = [rng.integers(1, 40, (9, toxicity.PARTS)).astype(np.int32) for _ in range(6)], np.array([0, 1, 0, 1, 0, 1], np.float32)
+    for f in ("embed", "out"):
+        setattr(model, f, getattr(model, f).astype(np.float64))
+    model.filters = [f.astype(np.float64) for f in model.filters]
+
+    def loss():
+        out = 0.0
+        for t, y in zip(texts, labels):
+            padded = np.vstack([t, np.full((max(toxicity.WIDTHS), toxicity.PARTS), -1, np.int32)])[None]
+            p = model._forward(padded)[3][0]
+            out -= y * np.log(p) + (1 - y) * np.log(1 - p)
+        return out / len(texts)
+
+    grads = model.gradients(texts, labels, np.ones(len(texts), np.float32))
+    for param, grad in ((model.filters[1], grads[1]), (model.out, grads[-1])):
+        for at in [np.unravel_index(k, param.shape) for k in rng.integers(0, param.size, 5)]:
+            old, step = param[at], 1e-5
+            param[at] = old + step
+            up = loss()
+            param[at] = old - step
+            down = loss()
+            param[at] = old
+            assert np.isclose((up - down) / (2 * step), grad[at], atol=1e-4)
+
+
+def test_toxicity_of_a_long_text_in_pieces(monkeypatch):
+    model = toxicity.ConvText(np.arange(1 << 16))
+    text = " ".join(f"w{i % 97}" for i in range(2000))
+    want = model.raw([text], common.WordTable(model.terms))
+    monkeypatch.setattr(toxicity, "STEP_CHARS", 300)
+    assert np.allclose(model.raw([text], common.WordTable(model.terms)), want, atol=1e-5)
+
+
+def test_statistics_in_pieces(monkeypatch):
+    text = "One two, two\n\nTHREE #$ four!\nOne two, two\n" * 30 + "é" * 50
+    want = quality.statistics(text)
+    monkeypatch.setattr(quality, "text_pieces", lambda t: common.text_pieces(t, 40))
+    assert np.allclose(quality.statistics(text), want)
+
+
+def test_ridge_against_a_direct_solution(spark, tables, monkeypatch):
+    docs, labels = tables
+    labelled = quality.document_statistics(docs).join(labels.where("quality IS NOT NULL"), "doc_id").selectExpr("stats", "quality AS label").repartition(7)
+    monkeypatch.setattr(quality, "FAN", 2)  # several levels of sums
+    model = quality.fit(labelled)
+    rows = labelled.collect()
+    phi, y = model.features(np.array([r.stats for r in rows])), np.array([float(r.label) for r in rows])
+    penalty = quality.RIDGE * len(rows) * np.eye(phi.shape[1])
+    penalty[-1, -1] = 0
+    assert np.allclose(model.weights, np.linalg.solve(phi.T @ phi + penalty, phi.T @ y), atol=1e-6)
+
+
 def test_quality(spark, tables, edge, none):
     docs, labels = tables
     rows = {r.doc_id: r for r in quality.quality_scores(docs, labels).collect()}
@@ -166,3 +250,5 @@ def test_held_out_accuracy(spark):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     got = queries.op5_quality(spark, DATA).where("held_out").join(labels, "doc_id").collect()
     assert np.mean([r.predicted == r.quality for r in got]) > 0.95
+    got = queries.op2_toxicity(spark, DATA).where("held_out").join(labels, "doc_id").collect()
+    assert np.mean([r.predicted for r in got if r.toxic]) > 0.8 and np.mean([r.predicted for r in got if not r.toxic]) < 0.02

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from snpweave.llm import decontam, licenses, secrets, urlfilter
+from snpweave.llm import common, decontam, licenses, secrets, urlfilter
 
 KEYWORDS = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api")) + "_?[kK][eE][yY]"
 
@@ -34,40 +35,93 @@ def test_base_spans(spark, edge, none):
     assert secrets.secret_report(none).count() == 0
 
 
-def test_queries_are_necessary_conditions():
-    for rule in secrets.BASE_RULES + secrets.EXTRA_RULES:
-        for literal in rule.literals:
-            grams = {literal.lower()[i : i + 3] for i in range(len(literal) - 2)}
-            assert any(q <= grams for q in rule.query())
-    assert secrets.Rule("x", "[0-9]+").query() == () and secrets.Rule("y", "ab", ("ab",)).query() == ()
+def holds(query, text):
+    low = text.lower()
+    return not query or any(all(t in low for t in a) for a in query)
+
+
+@pytest.mark.parametrize("rule", secrets.BASE_RULES + secrets.EXTRA_RULES, ids=lambda r: r.kind)
+def test_queries_hold_for_every_match(rule):
+    @settings(max_examples=60, deadline=None)
+    @given(st.from_regex(rule.pattern.replace("(?i:", "(?:"), fullmatch=True), st.booleans())
+    def run(text, upper):
+        text = text.upper() if upper and "(?i:" in rule.pattern else text
+        assert holds(rule.query(), text)
+
+    run()
+
+
+ATOMS = st.sampled_from(["abc", "xyzzy", "a", "[ab]c", "[0-9]", ".", "(?:foo|ba)", "(?:secret|token)x", "\\.", "(?i:QuX)"])
+PATTERNS = st.lists(st.tuples(ATOMS, st.sampled_from(["", "?", "*", "+", "{2,3}", "{4,}"])), min_size=1, max_size=5).map(lambda xs: "".join(f"(?:{a}){q}" for a, q in xs))
+
+
+@settings(max_examples=200, deadline=None)
+@given(PATTERNS, st.data())
+def test_queries_are_derived_from_any_expression(pattern, data):
+    text = data.draw(st.from_regex(pattern, fullmatch=True))
+    assert holds(secrets.Rule("x", pattern).query(), text)
+
+
+def test_queries_of_known_expressions():
+    q = secrets.trigram_query
+    assert q("abcd") == {frozenset({"abc", "bcd"})} and q("abc?d") == {frozenset({"abc", "bcd"}), frozenset({"abd"})} and q("foo.*bar") == {frozenset({"foo", "bar"})}
+    assert secrets.Rule("x", "[0-9]+").query() == () and secrets.Rule("y", "ab").query() == () and secrets.Rule("z", "abc|[0-9]").query() == ()
+
+
+def test_rules_with_and_without_queries_find_the_same(spark, edge, monkeypatch):
+    """The index only saves work: rules that scan everything give the same spans, and so does a list too long to broadcast."""
+    texts = ["x xoxb-1234567890ab y", "sk_live_abcdefabcdefabcdef", "token=abcdef", "ghp_" + "a" * 40, "key " * 400 + "secret: longenough", "token = abcdef " * 700]
+    docs = edge.select("doc_id", "text").union(spark.createDataFrame([(100 + i % 3, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    rows = lambda: sorted(map(str, secrets.secret_report(docs).collect()))
+    want = rows()
+    assert any("assign" in r for r in want) and any("slack" in r for r in want)
+    monkeypatch.setattr(common, "BROADCAST_IDS", 0)
+    assert rows() == want
+    monkeypatch.setattr(secrets, "trigram_query", lambda pattern: secrets.ALWAYS)
+    assert rows() == want
 
 
 def words_of(t):
     return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
 
 
+def expected_licenses(doc_id, text):
+    """All lines, and all windows of twice a template's length, one by one."""
+    w, places, labels = words_of(text or ""), [], set()
+    for phrase, label in licenses.PHRASES:
+        p = phrase.split()
+        at = [i for i in range(len(w)) if w[i : i + len(p)] == p]
+        places += at
+        labels |= {label} if at else set()
+    more, best = set(labels), 0.0
+    for label, template in licenses.TEMPLATES:
+        t, width = set(template.split()), 2 * len(template.split())
+        blocks = [set(words_of(line)) for line in (text or "").split("\n")] + [set(w[i : i + width]) for i in range(max(1, len(w) - width + 1))]
+        for block in blocks:
+            if len(block & t) >= math.ceil(0.8 * len(t) - 1e-9):
+                more.add(label)
+                best = max(best, len(block & t) / len(t))
+    return doc_id, len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(more)), 1.0 if places else best
+
+
 def test_licenses(spark, edge, none):
+    rng = random.Random(6)
     texts = ["under the MIT license under-the MIT license. cc by nc cc by nc x", "Apache License, Version 2.0", "This program is free software: you can redistribute it and/or modify it under terms of the GNU General Public License as published by the Free Software Foundation", "x\nLicensed under CC BY-NC 4.0.\ny", "license mit the under", "released under\nthe mit license"]
-    docs = edge.select("doc_id", "text").union(spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
-    want = []
-    for r in docs.collect():
-        w, places, labels = words_of(r.text or ""), [], set()
-        for phrase, label in licenses.PHRASES:
-            p = phrase.split()
-            at = [i for i in range(len(w)) if w[i : i + len(p)] == p]
-            places += at
-            labels |= {label} if at else set()
-        more, best = set(labels), 0.0
-        for line in (r.text or "").split("\n"):
-            block = set(words_of(line))
-            for label, text in licenses.TEMPLATES:
-                t = set(text.split())
-                if len(block & t) >= math.ceil(0.8 * len(t) - 1e-9):
-                    more.add(label)
-                    best = max(best, len(block & t) / len(t))
-        want.append((r.doc_id, len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(more)), 1.0 if places else best))
-    assert sorted(map(tuple, licenses.license_scan(docs).collect()), key=str) == sorted(want, key=str)
-    assert licenses.license_scan(none).count() == 0
+    for _, template in licenses.TEMPLATES:  # notices with words changed, dropped and strewn with others
+        words = template.split()
+        for strewn in (0, 0.1, 0.5):
+            kept = [x for w in words if rng.random() > 0.1 for x in ([w, "filler"] if rng.random() < strewn else [w])]
+            texts.append("lead " * rng.randint(0, 90) + "".join(w + rng.choice((" ", " ", "\n")) for w in kept) + "tail " * rng.randint(0, 90))
+    rows = [(r.doc_id, r.text) for r in edge.collect() if r.doc_id not in (5, 6)] + [(100 + i % 7, t) for i, t in enumerate(texts)]
+    got = licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted((expected_licenses(*r) for r in rows), key=str)
+    assert licenses.license_scan(none).count() == 0 and licenses.license_scan(edge).count() == edge.count()
+
+
+def test_labels_stay_with_their_row(spark):
+    rows = [("1", "nothing here at all"), ("1", "x\nLicensed under CC BY-NC 4.0.\ny"), ("null", "nothing"), (None, "released under the mit license")]
+    got = {(r.doc_id, r.n_words): r.labels for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {("1", 4): "", ("1", 9): "cc-by-nc", ("null", 1): "", (None, 5): "mit"}
 
 
 def test_wrapped_licenses(spark):
@@ -103,10 +157,22 @@ def test_urls(spark):
     assert {r.verdict for r in urlfilter.filter_urls(pages, rules.where("false")).collect()} == {"allow"}
 
 
+def test_long_urls_and_equal_rules(spark):
+    rules = [("a.b", "/x/", "allow"), ("b", "/x/y", "block"), ("b", "", "allow"), ("c.d.e.f", "/", "block"), ("c.d.e.f", "/", "allow"), ("", "/z", "block"), (None, "/", "block")]
+    urls = ["http://" + "a." * 4000 + "b/x/y/z", "http://" + "l" * 100_000 + ".c.d.e.f/", "http://a.b/x/y", "http://d.e.f/q", "http://b/" + "p" * 200_000, "http:///z", "http://./z", "http://x./z/1", "http://..b/x/yy"]
+    pages = spark.createDataFrame([(None if i == 2 else i // 2, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = urlfilter.filter_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
+    want = [((None if i == 2 else i // 2), *judged(u, [r for r in rules if r[0] is not None])) for i, u in enumerate(urls)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    long = max((urlfilter.candidates("x." * 4000 + "b", "/x/y", frozenset({0, 1}), [0, 3], 20)), key=lambda c: len(c[0]))
+    assert len(long[0]) < 30
+
+
 def test_digest_collisions(tmp_path):
     rules = [(f"host{i}/", "block" if i % 2 else "allow") for i in range(50)] + [("host0/", "block")]
     weak = lambda t: len(t) % 3
-    urlfilter.SortedDigests.write(str(tmp_path / "r"), rules, weak)
+    for name, content in urlfilter.SortedDigests.files(rules, weak).items():
+        (tmp_path / f"r.{name}").write_bytes(content)
     table = urlfilter.SortedDigests(str(tmp_path / "r"))
     found = table.find([r for r, _ in rules] + ["other/", "x"], weak)
     assert [table.string(i) for i in found[:-2]] == [r for r, _ in rules] and found[-2:] == [-1, -1] and bool(table.blocks[found[0]])
@@ -142,3 +208,42 @@ def test_leaks(spark, edge, none):
     assert decontam.find_leaks(none, bench).count() == 0 and decontam.find_leaks(docs, bench.where("false")).count() == 0
     with pytest.raises(Exception):
         decontam.find_leaks(docs.drop("text"), bench)
+
+
+def all_pairs(docs, items):
+    """Every document against every item by a full alignment."""
+    block = decontam.Block(items)
+    out = set()
+    for doc_id, text in docs:
+        words = np.array([block.vocabulary.get(x, -1) for w in (text or "").split() if (x := decontam.normal_word(w))], np.int32)
+        if len(words):
+            best, _, _ = decontam.align(block.items, [words] * len(block.items))
+            out |= {(doc_id, i) for i, s, w in zip(block.ids, best, block.items) if s >= decontam.THRESHOLD * decontam.MATCH * len(w)}
+    return out
+
+
+@pytest.mark.parametrize("every, copies", [(6, 1), (4, 12), (3, 1), (3, 12)])
+def test_edited_copies_are_found_however_common(spark, every, copies):
+    rng = random.Random(every)
+    words, common_words = [f"w{i}" for i in range(2000)], [f"c{i}" for i in range(40)]
+    said = lambda n: [rng.choice(words if rng.random() < 0.5 else common_words) for _ in range(n)]
+    items = [(i % 9, " ".join(said(60))) for i in range(10)] + [(50, " ".join(said(900))), (51, "two words"), (52, "single")]
+    docs = []
+    for i, (_, item) in enumerate(items[:10]):
+        for c in range(copies):
+            docs.append((i * 1000 + c, " ".join(said(20) + [w if (k + 1) % every else f"z{rng.randrange(999)}" for k, w in enumerate(item.split())] + said(20))))
+    docs += [(90_000 + i, " ".join(said(100))) for i in range(60)] + [(95_000, items[10][1]), (95_001, "here are two words"), (95_002, "a single one"), (95_002, "a single one"), (None, items[0][1])]
+    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == all_pairs(docs, items) and len(got) >= 10 * copies
+
+
+def test_windows_are_cut_by_the_items_own_length():
+    block = decontam.Block([(1, " ".join(f"a{i}" for i in range(20))), (2, " ".join(f"b{i}" for i in range(5000)))])
+    counts = np.ones(block.total, np.int64)
+    words = np.concatenate([block.items[0]] * 3000)
+    found = decontam.windows_of(block, decontam.Seeds(block, counts, 10), words, 0.5)
+    assert max(e - s for _, s, e in found) <= 8 * 40 and {i for i, _, _ in found} == {0}
+    covered = np.zeros(len(words), bool)
+    for _, s, e in found:
+        covered[s:e] = True
+    assert covered.all()
