@@ -55,13 +55,15 @@ def crossed(g: DataFrame, pairs: DataFrame, seed: int) -> DataFrame:
 
 
 def best_k(q: DataFrame, cut: float = 0.5) -> DataFrame:
-    """Per replicate the clusters in which some population's mean share exceeds the cut, then median and maximum over replicates.
+    """Per replicate the clusters in which some population's mean (median) share exceeds the cut, then median and maximum over replicates.
 
     ``q`` has ``replicate, cluster, pop, q``.
     """
-    per_pop = q.groupBy("replicate", "cluster", "pop").agg(F.avg("q").alias("m"))
-    used = per_pop.groupBy("replicate", "cluster").agg(F.max("m").alias("m")).groupBy("replicate").agg(F.count_if(F.col("m") > cut).alias("k"))
-    return used.agg(F.percentile("k", F.lit(0.5)).alias("med_mea_k"), F.max("k").alias("max_mea_k"))
+    per_pop = q.groupBy("replicate", "cluster", "pop").agg(F.avg("q").alias("m"), F.percentile("q", F.lit(0.5)).alias("md"))
+    most = per_pop.groupBy("replicate", "cluster").agg(F.max("m").alias("m"), F.max("md").alias("md"))
+    used = most.groupBy("replicate").agg(F.count_if(F.col("m") > cut).alias("k"), F.count_if(F.col("md") > cut).alias("kd"))
+    half = lambda c: F.percentile(c, F.lit(0.5))
+    return used.agg(half("k").alias("med_mea_k"), F.max("k").alias("max_mea_k"), half("kd").alias("med_med_k"), F.max("kd").alias("max_med_k"))
 
 
 def terms(genes: DataFrame) -> DataFrame:

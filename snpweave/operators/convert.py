@@ -14,7 +14,7 @@ def dose_of() -> Column:
 
 def dense(g: DataFrame, samples: DataFrame, sites: DataFrame) -> DataFrame:
     """Every sample at every site, with NULL alleles where there is no call: the size of what is written."""
-    return samples.crossJoin(F.broadcast(sites)).join(g.select("ind", "chrom", "pos", "a1", "a2"), ["ind", "chrom", "pos"], "left")
+    return samples.crossJoin(sites).join(g.select("ind", "chrom", "pos", "a1", "a2"), ["ind", "chrom", "pos"], "left")
 
 
 def joined(order: list[str], value: Column, sep: str) -> Column:
@@ -44,11 +44,14 @@ def structure_rows(full: DataFrame, ref: Column, alt: Column) -> DataFrame:
     return two.groupBy("ind", "hap").agg(joined(["chrom", "pos"], F.col("c"), " ").alias("line"))
 
 
-def haplotypes(g: DataFrame, ref: Column, alt: Column) -> DataFrame:
-    """``(ind, chrom, tag)``: the bases of a chromosome's called sites on both sides, as ``left/right``."""
+def haplotypes(g: DataFrame, samples: DataFrame, sites: DataFrame, ref: Column, alt: Column) -> DataFrame:
+    """``(ind, chrom, tag)`` for every sample and chromosome: the bases of all the chromosome's sites on both sides, as
+    ``left/right``; empty where a call is missing."""
     base = lambda a: F.when(F.col(a) == 0, ref).otherwise(alt)
-    sides = g.where("a1 IS NOT NULL AND a2 IS NOT NULL").groupBy("ind", "chrom").agg(joined(["pos"], base("a1"), "").alias("l"), joined(["pos"], base("a2"), "").alias("r"))
-    return sides.select("ind", "chrom", F.concat_ws("/", "l", "r").alias("tag"))
+    sides = g.where("a1 IS NOT NULL AND a2 IS NOT NULL").groupBy("ind", "chrom").agg(F.count(F.lit(1)).alias("called"), joined(["pos"], base("a1"), "").alias("l"), joined(["pos"], base("a2"), "").alias("r"))
+    spine = samples.select("ind").crossJoin(sites.groupBy("chrom").agg(F.count(F.lit(1)).alias("n")))  # samples x chromosomes: the size of the result
+    whole = F.col("called") == F.col("n")
+    return spine.join(sides, ["ind", "chrom"], "left").select("ind", "chrom", F.when(whole, F.concat_ws("/", "l", "r")).otherwise("").alias("tag"))
 
 
 def ancestry(full: DataFrame, differences: DataFrame, flips: DataFrame, least: float) -> DataFrame:

@@ -116,3 +116,9 @@ def contrast(g: DataFrame, is_reference) -> DataFrame:
         F.count_if(mono_r & ~mono_o).alias("reference_only"), F.count_if(mono_o & ~mono_r).alias("others_only"),
         F.count_if(mono_r & mono_o & (F.col("r_lo") != F.col("o_lo"))).alias("fixed_difference"), F.count_if(mono_r & mono_o & (F.col("r_lo") == F.col("o_lo"))).alias("same"),
     )
+
+
+def biallelic(g: DataFrame) -> DataFrame:
+    """``(chrom, pos, n, n_alleles)`` of sites with at most two different alleles over both places of all calls (and at least one)."""
+    each = g.select(*SITE, F.explode(F.array("a1", "a2")).alias("a")).where("a IS NOT NULL")
+    return each.groupBy(*SITE).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("a").alias("n_alleles")).where("n_alleles <= 2")

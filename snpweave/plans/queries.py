@@ -33,7 +33,7 @@ s AS (SELECT m, m % 40 AS chrom, 1 + 1500 * (m // 40) + 13 * ((m * m) % 97) AS p
 #: Locus alignments from conversations, as SQL.
 LOCI = """
 WITH RECURSIVE loci AS (SELECT conv_id AS locus, turn AS seq_ord, role AS sample,
-  substr(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), 1, 40) AS seq FROM conversations)
+  translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM conversations)
 """
 
 
@@ -78,9 +78,9 @@ def _minrep(spark, d):
     return frequencies.minrep(by_pop(spark, d), least_prop=0.5)
 
 
-@query("vcf_minrep_filter_abs", BY_POP + "SELECT chrom, pos, CAST(sum(n_genotyped) AS BIGINT) AS n_genotyped FROM bp GROUP BY chrom, pos HAVING min(n_genotyped) >= 2")
+@query("vcf_minrep_filter_abs", BY_POP + "SELECT chrom, pos, CAST(sum(n_genotyped) AS BIGINT) AS n_genotyped FROM bp GROUP BY chrom, pos HAVING min(n_genotyped) >= 1")
 def _minrep_abs(spark, d):
-    return frequencies.minrep(by_pop(spark, d), least_count=2)
+    return frequencies.minrep(by_pop(spark, d), least_count=1)
 
 
 @query("minrep_summary", BY_POP + """, x AS (SELECT bool_and(prop >= 0.5) AS ok, sum(n_genotyped) / sum(pop_size) AS overall FROM bp GROUP BY chrom, pos)
@@ -159,7 +159,7 @@ def _contrast(spark, d):
     return frequencies.contrast(genotypes(spark, d), F.col("grp") == 0)
 
 
-@query("vcf_reference_loci", G + "SELECT DISTINCT chrom FROM g WHERE ind % 50 = 1 AND m % 7 = 0")
+@query("vcf_reference_loci", G + "SELECT DISTINCT chrom FROM g WHERE ind % 50 = 1")
 def _reference_loci(spark, d):
     return genotypes(spark, d).where("ind % 50 = 1").select("chrom").distinct()
 
@@ -209,9 +209,8 @@ def _distance(spark, d):
     return pairwise.distances(pairwise.matches(genotypes(spark, d), crosswise=False)).where("both > 100").select("ind1", "ind2", F.round("d", 9).alias("d"))
 
 
-@query("gdmatrix", G + ", t AS (SELECT * FROM g WHERE ind BETWEEN 1 AND 10)" + _pairs_sql("a.a1 = b.a1 OR a.a2 = b.a2", "t") + """, dm AS (SELECT ind1, ind2, round(1 - match2 / (2 * "both"), 9) AS d FROM pr),
-bt AS (SELECT * FROM dm UNION ALL SELECT ind2, ind1, d FROM dm UNION ALL SELECT ind, ind, 0.0 FROM smp WHERE ind BETWEEN 1 AND 10)
-SELECT ind1, """ + ", ".join(f'max(d) FILTER (ind2 = {i}) AS "{i}"' for i in range(1, 11)) + " FROM bt GROUP BY ind1")
+@query("gdmatrix", G + _pairs_sql("a.a1 = b.a1 OR a.a2 = b.a2") + """, dm AS (SELECT ind1, ind2, round(1 - match2 / (2 * "both"), 9) AS d FROM pr)
+SELECT * FROM dm UNION ALL SELECT ind2, ind1, d FROM dm UNION ALL SELECT ind, ind, 0.0 FROM smp""")
 def _matrix(spark, d):
     """Every sample with every sample, in long form: a column a sample would not grow with the table."""
     pairs = pairwise.matches(genotypes(spark, d), crosswise=False)
@@ -577,8 +576,9 @@ def _cluster_label(spark, d):
 
 
 @query("puechmaille_k", """WITH q AS (SELECT l_linenumber % 5 AS replicate, l_suppkey % 6 AS cluster, s_nationkey AS pop, CASE WHEN l_quantity > 24 + l_suppkey % 6 THEN 1 ELSE 0 END AS q FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
-m AS (SELECT replicate, cluster, pop, avg(q) AS m FROM q GROUP BY ALL), k AS (SELECT replicate, cluster, max(m) AS m FROM m GROUP BY ALL), n AS (SELECT replicate, count(*) FILTER (m > 0.5) AS k FROM k GROUP BY replicate)
-SELECT quantile_cont(k, 0.5) AS med_mea_k, max(k) AS max_mea_k FROM n""")
+m AS (SELECT replicate, cluster, pop, avg(q) AS m, quantile_cont(q, 0.5) AS md FROM q GROUP BY ALL), k AS (SELECT replicate, cluster, max(m) AS m, max(md) AS md FROM m GROUP BY ALL),
+n AS (SELECT replicate, count(*) FILTER (m > 0.5) AS k, count(*) FILTER (md > 0.5) AS kd FROM k GROUP BY replicate)
+SELECT quantile_cont(k, 0.5) AS med_mea_k, max(k) AS max_mea_k, quantile_cont(kd, 0.5) AS med_med_k, max(kd) AS max_med_k FROM n""")
 def _best_k(spark, d):
     rows = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
     return annotate.best_k(rows.select((F.col("l_linenumber") % 5).alias("replicate"), (F.col("l_suppkey") % 6).alias("cluster"), F.col("s_nationkey").alias("pop"), (F.col("l_quantity") > 24 + F.col("l_suppkey") % 6).cast("int").alias("q")))
@@ -601,7 +601,7 @@ def _outflank(spark, d):
     return convert.sample_rows(dense(spark, d), "9")
 
 
-@query("genotype_matrix", DENSE + "SELECT chrom, pos, string_agg(coalesce(CAST(a1 + a2 AS VARCHAR), '-9'), ' ' ORDER BY ind) AS line FROM dn WHERE m % 10 = 1 GROUP BY chrom, pos")
+@query("genotype_matrix", DENSE + "SELECT chrom, pos, string_agg(coalesce(CAST(a1 + a2 AS VARCHAR), '-9'), ' ' ORDER BY ind) AS line FROM dn GROUP BY chrom, pos")
 def _matrix_rows(spark, d):
     return convert.site_rows(dense(spark, d), gt.coded(convert.dose_of(), "-9"))
 
@@ -621,9 +621,10 @@ def _structure(spark, d):
     return convert.structure_rows(dense(spark, d), F.when(even, "A").otherwise("G"), F.when(even, "T").otherwise("C"))
 
 
-@query("vcf2hapmatrix", G + """SELECT ind, chrom, string_agg(CASE WHEN a1 = 0 THEN 'A' ELSE 'T' END, '' ORDER BY pos) || '/' || string_agg(CASE WHEN a2 = 0 THEN 'A' ELSE 'T' END, '' ORDER BY pos) AS tag FROM g GROUP BY ind, chrom""")
+@query("vcf2hapmatrix", G + """, k AS (SELECT chrom, count(*) AS n FROM s GROUP BY chrom), h AS (SELECT ind, chrom, count(*) AS n, string_agg(CASE WHEN a1 = 0 THEN 'A' ELSE 'T' END, '' ORDER BY pos) AS l, string_agg(CASE WHEN a2 = 0 THEN 'A' ELSE 'T' END, '' ORDER BY pos) AS r FROM g GROUP BY ind, chrom)
+SELECT smp.ind, k.chrom, CASE WHEN h.n = k.n THEN l || '/' || r ELSE '' END AS tag FROM smp CROSS JOIN k LEFT JOIN h ON h.ind = smp.ind AND h.chrom = k.chrom""")
 def _haplotypes(spark, d):
-    return convert.haplotypes(genotypes(spark, d), F.lit("A"), F.lit("T"))
+    return convert.haplotypes(genotypes(spark, d), samples(spark, d), sites(spark), F.lit("A"), F.lit("T"))
 
 
 @query("ref_alt_switch", G + "SELECT chrom, pos, count(*) FILTER (a1 + a2 = 0) > count(*) FILTER (a1 + a2 = 2) AS flip FROM g WHERE grp = 1 GROUP BY chrom, pos")
@@ -653,9 +654,15 @@ def _dart(spark, d):
     return table(spark, d, "part").select("p_partkey", gt.dart_call(score).alias("call"))
 
 
-@query("biallelic_guard", G + "SELECT chrom, pos, count(*) * 2 AS n, CAST(count(DISTINCT a1) AS BIGINT) AS n_alleles FROM g GROUP BY chrom, pos HAVING count(DISTINCT a1) <= 2")
+#: Calls with a third and fourth allele at every seventh site.
+MANY = "CASE WHEN m % 7 = 0 AND ind % 3 = 0 THEN {a} + 2 ELSE {a} END"
+
+
+@query("biallelic_guard", G + f""", x AS (SELECT chrom, pos, unnest([{MANY.format(a="a1")}, {MANY.format(a="a2")}]) AS a FROM g)
+SELECT chrom, pos, count(*) AS n, CAST(count(DISTINCT a) AS BIGINT) AS n_alleles FROM x GROUP BY chrom, pos HAVING count(DISTINCT a) <= 2""")
 def _biallelic(spark, d):
-    return genotypes(spark, d).groupBy("chrom", "pos").agg((F.count("a1") + F.count("a2")).alias("n"), F.countDistinct("a1").alias("n_alleles")).where("n_alleles <= 2")
+    g = genotypes(spark, d)
+    return frequencies.biallelic(g.select("chrom", "pos", *[F.expr(MANY.format(a=a)).alias(a) for a in ("a1", "a2")]))
 
 
 @query("fastq_seqcount", "WITH f AS (SELECT source, sum(length(text) - length(replace(text, chr(10), '')) + 1) // 4 AS n FROM documents GROUP BY source) SELECT CAST(floor(avg(n)) AS BIGINT) AS mean, CAST(min(n) AS BIGINT) AS least, CAST(max(n) AS BIGINT) AS most FROM f")
@@ -677,7 +684,7 @@ def _cluster_sizes(spark, d):
     return annotate.cluster_sizes(members, 100)
 
 
-@query("gowinda_sets", """WITH e AS (SELECT p_partkey AS ord, p_brand || '_' || p_partkey AS gene, unnest(['GO:' || p_size % 9, 'GO:' || (p_size + 3) % 9]) AS go_id FROM part WHERE p_partkey < 300)
+@query("gowinda_sets", """WITH e AS (SELECT p_partkey AS ord, p_brand || '_' || p_partkey AS gene, unnest(['GO:' || p_size % 9, 'GO:' || (p_size + 3) % 9]) AS go_id FROM part)
 SELECT go_id, 'term ' || substr(go_id, 4) AS description, string_agg(gene, ' ' ORDER BY ord) AS genes FROM e GROUP BY go_id""")
 def _terms(spark, d):
     part = lambda n: F.concat(F.lit("term "), n, F.lit(" [GO:"), n, F.lit("]"))
@@ -700,7 +707,7 @@ def _revcomp(spark, d):
     return loci(spark, d).select("locus", "seq_ord", sq.reverse_complement(F.col("seq")).alias("seq"))
 
 
-CONSENSUS = LOCI + """, b AS (SELECT locus, sample AS grp, i AS place, substr(seq, CAST(i AS INTEGER), 1) AS base FROM loci, range(1, 41) t(i) WHERE i <= length(seq)),
+CONSENSUS = LOCI + """, b AS (SELECT locus, sample AS grp, i AS place, substr(seq, CAST(i AS INTEGER), 1) AS base FROM loci, unnest(range(1, length(seq) + 1)) t(i)),
 k AS (SELECT locus, grp, place, CASE WHEN min(base) = max(base) THEN min(base) ELSE 'N' END AS base FROM b GROUP BY ALL), cs AS (SELECT locus, grp, string_agg(base, '' ORDER BY place) AS seq FROM k GROUP BY ALL)
 """
 
@@ -715,7 +722,7 @@ def _consensus(spark, d):
 
 
 @query("caps_sites", CONSENSUS + """, en AS (SELECT * FROM (VALUES ('E1', 'GT'), ('E2', 'CGA'), ('E3', 'TAC')) v(enzyme, site)), tw AS (SELECT a.locus, a.seq AS seq1, b.seq AS seq2 FROM cs a JOIN cs b ON a.locus = b.locus WHERE a.grp = 'assistant' AND b.grp = 'user')
-SELECT DISTINCT locus, enzyme, i AS "at" FROM tw CROSS JOIN en, range(1, 41) t(i) WHERE (substr(seq1, CAST(i AS INTEGER), length(site)) = site OR substr(seq2, CAST(i AS INTEGER), length(site)) = site)
+SELECT DISTINCT locus, enzyme, i AS "at" FROM tw CROSS JOIN en, unnest(range(1, greatest(length(seq1), length(seq2)) + 1)) t(i) WHERE (substr(seq1, CAST(i AS INTEGER), length(site)) = site OR substr(seq2, CAST(i AS INTEGER), length(site)) = site)
  AND substr(seq1, CAST(i AS INTEGER), length(site)) <> substr(seq2, CAST(i AS INTEGER), length(site)) AND NOT contains(substr(seq1, CAST(i AS INTEGER), length(site)), 'N') AND NOT contains(substr(seq2, CAST(i AS INTEGER), length(site)), 'N')""")
 def _caps(spark, d):
     """Sites of enzymes whose sites cannot overlap themselves, so all occurrences are non-overlapping ones."""
@@ -747,15 +754,16 @@ def _ref_or_last(spark, d):
     return sequences.reference_sequences(loci(spark, d), F.col("sample") == "system", else_last=True)
 
 
-@query("concat_fasta", LOCI + """, t AS (SELECT * FROM loci WHERE locus % 10 = 0), w AS (SELECT locus, length(arg_min(seq, seq_ord)) AS width FROM t GROUP BY locus), o AS (SELECT locus, sample, arg_min(seq, seq_ord) AS seq FROM t GROUP BY ALL)
-SELECT p.sample, CAST(count(o.seq) AS BIGINT) AS n_seqs, string_agg(coalesce(o.seq, repeat('N', CAST(width AS INTEGER))), '' ORDER BY w.locus) AS seq FROM w CROSS JOIN (SELECT DISTINCT sample FROM t) p LEFT JOIN o ON o.locus = w.locus AND o.sample = p.sample GROUP BY p.sample""")
+@query("concat_fasta", LOCI + """, t AS (SELECT * FROM loci), w AS (SELECT locus, max(length(seq)) AS width FROM t GROUP BY locus), o AS (SELECT locus, sample, arg_min(seq, seq_ord) AS seq FROM t GROUP BY ALL)
+SELECT p.sample, CAST(count(o.seq) AS BIGINT) AS n_seqs, string_agg(rpad(coalesce(o.seq, ''), CAST(width AS INTEGER), 'N'), '' ORDER BY w.locus) AS seq FROM w CROSS JOIN (SELECT DISTINCT sample FROM t) p LEFT JOIN o ON o.locus = w.locus AND o.sample = p.sample GROUP BY p.sample""")
 def _concat(spark, d):
     return sequences.concatenated(loci(spark, d))
 
 
-@query("loci_trim", LOCI + "SELECT locus, seq_ord, sample, substr(seq, 1, 15) AS seq FROM loci")
+@query("loci_trim", LOCI + ", w AS (SELECT max(length(sample)) + 5 AS w FROM loci) SELECT locus, seq_ord, rpad(sample, CAST(w AS INTEGER), ' ') || substr(seq, 1, 15) AS line FROM loci, w")
 def _trim(spark, d):
-    return sequences.trimmed(loci(spark, d), 15)
+    rows = loci(spark, d)
+    return sequences.trimmed(rows, 15, rows.agg((F.max(F.length("sample")) + 5).alias("w")).first().w).select("locus", "seq_ord", "line")
 
 
 @query("locus_lengths", LOCI + "SELECT locus, CAST(coalesce(arg_max(length(seq), seq_ord) FILTER (sample = 'assistant'), 0) AS BIGINT) AS length FROM loci GROUP BY locus")
@@ -768,10 +776,11 @@ def _migrate(spark, d):
     return loci(spark, d).groupBy(F.col("sample").alias("pop"), "locus").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("pyrad_filter", LOCI + "SELECT locus, count(*) AS n_seqs FROM loci WHERE locus % 3 <> 0 GROUP BY locus HAVING count(*) >= 4")
+@query("pyrad_filter", LOCI + "SELECT locus, count(*) AS n_seqs, locus % 5 AS n_snps FROM loci WHERE locus % 3 <> 0 GROUP BY locus HAVING count(*) >= 4 AND locus % 5 >= 2")
 def _pyrad_filter(spark, d):
     ids = table(spark, d, "conversations").where("conv_id % 3 = 0").select(F.col("conv_id").alias("locus"))
-    return sequences.filter_loci(loci(spark, d), ids, keep=False, least_seqs=4)
+    info = F.concat(F.lit("//  "), F.repeat(F.lit("* "), (F.col("locus") % 5).cast("int")), F.lit("-|"), F.col("locus").cast("string"), F.lit("|"))
+    return sequences.filter_loci(loci(spark, d).withColumn("info", info), ids, keep=False, least_seqs=4, least_snps=2)
 
 
 @query("pyrad_include", LOCI + ", k AS (SELECT * FROM loci WHERE sample = 'user') SELECT locus, seq_ord, sample, seq FROM k WHERE locus IN (SELECT locus FROM k GROUP BY locus HAVING count(*) >= 2)")
@@ -780,18 +789,22 @@ def _pyrad_include(spark, d):
     return lists.include_with_least(loci(spark, d), listed, "sample", "locus", 2).select("locus", "seq_ord", "sample", "seq")
 
 
-@query("crossref_pos", LOCI + "SELECT locus, seq_ord, 5 - (length(substr(replace(seq, 'GG', '--'), 1, 5)) - length(replace(substr(replace(seq, 'GG', '--'), 1, 5), '-', ''))) - 1 AS at FROM loci WHERE length(seq) >= 6")
+GAPPED = "replace(seq, 'GG', '--')"
+
+
+@query("crossref_pos", LOCI + f""", p AS (SELECT locus, seq_ord, {GAPPED} AS seq, CASE WHEN locus % 2 = 0 THEN 0 ELSE 16 END AS flag FROM loci WHERE length(seq) >= 6)
+SELECT locus, seq_ord, CAST(CASE WHEN flag = 16 THEN length(seq) - 6 - (length(substr(seq, 7)) - length(replace(substr(seq, 7), '-', ''))) ELSE 6 - (length(substr(seq, 1, 5)) - length(replace(substr(seq, 1, 5), '-', ''))) - 1 END AS BIGINT) AS at FROM p""")
 def _crossref(spark, d):
     gapped = loci(spark, d).where("length(seq) >= 6").withColumn("seq", F.replace("seq", F.lit("GG"), F.lit("--")))
-    before = F.substring("seq", 1, 5)
-    return gapped.select("locus", "seq_ord", (5 - (F.length(before) - F.length(sq.without_gaps(before))) - 1).cast("long").alias("at"))
+    flag = F.when(F.col("locus") % 2 == 0, 0).otherwise(16)
+    return gapped.select("locus", "seq_ord", remap.read_place(F.col("seq"), F.lit(6), flag).cast("long").alias("at"))
 
 
-@query("verify_alleles", LOCI + "SELECT locus, seq_ord, substr(seq, 3, 1) IN ('A', 'G') AS fits FROM loci WHERE length(seq) >= 3")
+@query("verify_alleles", LOCI + "SELECT locus, seq_ord, CASE substr(seq, 3, 1) WHEN 'T' THEN true WHEN 'C' THEN false ELSE substr(seq, 3, 1) IN ('A', 'G') END AS fits FROM loci WHERE length(seq) >= 3")
 def _verify(spark, d):
-    base = F.substring("seq", 3, 1)
-    fits = F.forall(F.split(sq.expand(base), "(?!^)(?!$)"), lambda x: x.isin("A", "G"))
-    return loci(spark, d).where("length(seq) >= 3").select("locus", "seq_ord", fits.alias("fits"))
+    """The third base against A and G, with T read as the code of both and C as the code of C and T."""
+    code = F.translate(F.substring("seq", 3, 1), "TC", "RY")
+    return loci(spark, d).where("length(seq) >= 3").select("locus", "seq_ord", remap.fits(code, F.lit("A"), F.lit("G")).alias("fits"))
 
 
 @query("session_blocks", "WITH l AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts > lag(ts) OVER w + INTERVAL 2 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS s FROM l) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last, count(*) AS n FROM b GROUP BY user_id, s")
@@ -847,11 +860,11 @@ def _pairing(spark, d):
     return annotate.parental_pairs(samples(spark, d), F.col("grp") == 0, F.col("grp") == 1, 8, 3)
 
 
-GENOME = LOCI + """, fa AS (SELECT locus AS chrom, replace(seq, 'GG', '--') AS seq, CASE WHEN locus % 2 = 0 THEN 0 ELSE 16 END AS flag FROM (SELECT locus, arg_min(seq, seq_ord) AS seq FROM loci GROUP BY locus) WHERE length(seq) = 40),
-si AS (SELECT chrom, p AS pos, flag, seq, CASE WHEN substr(seq, CAST(p AS INTEGER), 1) = '-' THEN 'A' ELSE substr(seq, CAST(p AS INTEGER), 1) END AS ref FROM fa, (SELECT unnest([4, 11, 18, 25, 32]) AS p)),
+GENOME = LOCI + """, fa AS (SELECT locus AS chrom, replace(seq, 'GG', '--') AS seq, CASE WHEN locus % 2 = 0 THEN 0 ELSE 16 END AS flag FROM (SELECT locus, arg_min(seq, seq_ord) AS seq FROM loci GROUP BY locus) WHERE length(seq) >= 4),
+si AS (SELECT chrom, p AS pos, flag, seq, CASE WHEN substr(seq, CAST(p AS INTEGER), 1) = '-' THEN 'A' ELSE substr(seq, CAST(p AS INTEGER), 1) END AS ref FROM fa, unnest(range(4, length(seq) + 1, 7)) t(p)),
 sa AS (SELECT *, translate(ref, 'ACGT', 'CATG') AS alt FROM si),
-pl AS (SELECT *, CASE WHEN flag = 16 THEN 40 - pos - (length(substr(seq, CAST(pos + 1 AS INTEGER))) - length(replace(substr(seq, CAST(pos + 1 AS INTEGER)), '-', ''))) ELSE pos - 1 - (length(substr(seq, 1, CAST(pos - 1 AS INTEGER))) - length(replace(substr(seq, 1, CAST(pos - 1 AS INTEGER)), '-', ''))) END AS qpos FROM sa),
-gb AS (SELECT chrom, CAST(i AS BIGINT) AS qpos, 1000 * chrom + i AS rpos, substr('ACGT', CAST(1 + (chrom * 7 + i * i) % 4 AS INTEGER), 1) AS rbase FROM fa, range(40) t(i)),
+pl AS (SELECT *, CASE WHEN flag = 16 THEN length(seq) - pos - (length(substr(seq, CAST(pos + 1 AS INTEGER))) - length(replace(substr(seq, CAST(pos + 1 AS INTEGER)), '-', ''))) ELSE pos - 1 - (length(substr(seq, 1, CAST(pos - 1 AS INTEGER))) - length(replace(substr(seq, 1, CAST(pos - 1 AS INTEGER)), '-', ''))) END AS qpos FROM sa),
+gb AS (SELECT chrom, CAST(i AS BIGINT) AS qpos, 1000 * chrom + i AS rpos, substr('ACGT', CAST(1 + (chrom * 7 + i * i) % 4 AS INTEGER), 1) AS rbase FROM fa, unnest(range(length(seq))) t(i)),
 mt AS (SELECT pl.*, rpos, rbase, CASE WHEN flag = 16 THEN translate(ref, 'ACGT', 'TGCA') ELSE ref END AS r, CASE WHEN flag = 16 THEN translate(alt, 'ACGT', 'TGCA') ELSE alt END AS a FROM pl JOIN gb ON gb.chrom = pl.chrom AND gb.qpos = pl.qpos)
 SELECT chrom, CAST(pos AS BIGINT) AS pos, 'g' || chrom % 3 AS genome_chrom, rpos AS genome_pos, rbase AS genome_base, CASE WHEN rbase <> r AND rbase = a THEN a ELSE r END AS ref, CASE WHEN rbase <> r AND rbase = a THEN r ELSE a END AS alt,
   CASE WHEN rbase = r THEN CASE WHEN flag = 16 THEN 'reverse' ELSE 'forward' END || '_same' WHEN rbase = a THEN CASE WHEN flag = 16 THEN 'reverse' ELSE 'forward' END || '_swapped' ELSE 'deleted' END AS "case" FROM mt
