@@ -53,7 +53,8 @@ STEP_CELLS = 400_000
 
 
 def normal_word(word: str) -> str:
-    return "".join(filter(str.isalnum, word.lower()))
+    word = word.lower()
+    return word if word.isalnum() else "".join(filter(str.isalnum, word))
 
 
 class Block:
@@ -134,12 +135,13 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
     a, b = np.full((len(items), rows), -2, np.int32), np.full((len(items), width), -1, np.int32)
     for i, (x, y) in enumerate(zip(items, windows, strict=True)):
         a[i, : len(x)], b[i, : len(y)] = x, y
-    ramp = COST * np.arange(width, dtype=np.int32)
-    above = np.zeros((len(items), width + 1), np.int32)
+    kind = np.int16 if MATCH * rows + COST * width < 30_000 else np.int32  # scores and their sums with the ramp fit
+    ramp = COST * np.arange(width, dtype=kind)
+    above = np.zeros((len(items), width + 1), kind)
     best, end_i, end_j = np.zeros(len(items), np.int32), np.zeros(len(items), np.int64), np.zeros(len(items), np.int64)
     for i in range(rows):
-        score = np.where(b == a[:, i, None], np.int32(MATCH), np.int32(-COST))
-        here = np.maximum(np.maximum(above[:, :-1] + score, above[:, 1:] - COST), 0)
+        score = np.where(b == a[:, i, None], kind(MATCH), kind(-COST))
+        here = np.maximum(np.maximum(above[:, :-1] + score, above[:, 1:] - kind(COST)), kind(0))
         here = np.maximum.accumulate(here + ramp, axis=1) - ramp
         above[:, 1:] = here
         j = here.argmax(axis=1)
@@ -217,15 +219,20 @@ def windows_of(block: Block, seeds: Seeds, words: np.ndarray, threshold: float)
 
 
 def can_reach(items: list[np.ndarray], windows: list[np.ndarray], vocabulary: int, threshold: float) -> np.ndarray:
-    """Whether enough of each window's words are words of the item: a score needs half of it in matches."""
-    pair = np.repeat(np.arange(len(items)), [len(x) for x in items])
-    known = np.unique(pair * (vocabulary + 1) + np.concatenate(items))
-    owner = np.repeat(np.arange(len(windows)), [len(w) for w in windows])
-    words = np.concatenate(windows)
-    keys = owner * (vocabulary + 1) + words
+    """Whether a window shares enough words with its item, each as often as both have it: a score needs ``threshold`` of the item in matches."""
+    def counted(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.repeat(np.arange(len(texts)) * (vocabulary + 1), [len(x) for x in texts]) + np.concatenate(texts)
+        keys.sort()
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        return keys[first], np.diff(np.r_[first, len(keys)])
+
+    able = np.array([math.ceil(threshold * len(x) - 1e-9) for x in items])
+    known, often = counted(items)
+    words = [w[w >= 0] for w in windows]
+    keys, n = counted(words) if sum(map(len, words)) else (np.empty(0, np.int64), np.empty(0, np.int64))
     at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    hits = np.bincount(owner, (known[at] == keys) & (words >= 0), len(windows))
-    return hits >= np.array([math.ceil(threshold * len(x) - 1e-9) for x in items])
+    met = known[at] == keys
+    return np.bincount(keys[met] // (vocabulary + 1), np.minimum(often[at[met]], n[met]), len(items)) >= able
 
 
 def _align(encoded: DataFrame, block, seeds, threshold: float) -> DataFrame:
