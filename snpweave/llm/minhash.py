@@ -21,8 +21,8 @@ costs n comparisons and texts that merely share a passage make no pairs.
 
 Comparisons run where the smaller number of rows meets: the sets, worked out once with the
 signatures, join the pairs by their larger end, and the pairs of a much-linked member are
-dealt over several tasks, each with one copy of its set.  Members of one bucket that are
-compared with each other are dealt over tasks in blocks, so no task holds a bucket's square.
+dealt over several tasks, each with one copy of its set.  What is left of one bucket is
+held against itself inside one join task, by the bound; only pairs that pass it become rows.
 
 Documents are rows here, told apart by a row number; ids are only reported.
 
@@ -54,8 +54,8 @@ THRESHOLD = 75
 HALF_KEYS, HALF_SIZE = 14, 3
 #: 64-bit words of a set's parity sketch.
 SKETCH = 32
-#: Pairs of one member compared in one task, and members of one bucket's block, about.
-HUB, BLOCK = 256, 512
+#: Pairs of one member compared in one task, about.
+HUB = 256
 
 _MASK = (1 << 64) - 1
 
@@ -181,19 +181,10 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 
 def bucket_pairs(rest: DataFrame, threshold: int) -> DataFrame:
-    """``(a, b)``: members of one bucket in unlike components whose sketches allow a link.
-
-    A bucket of n members is cut into about ``n / BLOCK`` blocks by a hash, and pairs of blocks are dealt over tasks.
-    """
-    blocks = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = rest.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    cells = placed.select("*", others).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    x, y = cells.where("block <= other").alias("x"), cells.where("block >= other").alias("y")
-    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
-    apart_yet = ((F.col("x.block") < F.col("y.block")) | (F.col("x.row") < F.col("y.row"))) & (F.col("x.comp") != F.col("y.comp"))
-    met = x.join(y, same & apart_yet & may_link(threshold))
-    return met.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct()
+    """``(a, b)``: members of one bucket in unlike components whose sketches allow a link; the bound is part of the join, which makes no other rows."""
+    x, y = rest.alias("x"), rest.alias("y")
+    apart_yet = (F.col("x.key") == F.col("y.key")) & (F.col("x.row") < F.col("y.row")) & (F.col("x.comp") != F.col("y.comp"))
+    return x.join(y, apart_yet & may_link(threshold)).select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct()
 
 
 def minhash_components(docs: DataFrame, *, words: int = WORDS, threshold: int = THRESHOLD, m: int = HALF_KEYS, k: int = HALF_SIZE, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:

@@ -106,11 +106,11 @@ def test_near_components(spark, edge):
         assert near_rows(docs) == expected_near([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
 
 
-def test_near_hubs_and_blocks_are_dealt(spark, monkeypatch, tmp_path):
-    """The same result where nearly every hub and bucket is cut, and where lists are too long to broadcast."""
+def test_near_hubs_are_dealt(spark, monkeypatch, tmp_path):
+    """The same result where nearly every hub is cut, and where lists are too long to broadcast."""
     spark.createDataFrame(near_texts(), "doc_id long, text string").write.parquet(str(tmp_path / "d"))
     docs = spark.read.parquet(str(tmp_path / "d"))
-    monkeypatch.setattr(minhash, "HUB", 2), monkeypatch.setattr(minhash, "BLOCK", 2), monkeypatch.setattr(common, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(minhash, "HUB", 2), monkeypatch.setattr(common, "BROADCAST_IDS", 0)
     assert near_rows(docs) == expected_near([(r.doc_id, r.text) for r in docs.collect()])
 
 
