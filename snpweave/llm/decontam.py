@@ -68,7 +68,7 @@ class Block:
             if words:
                 self.ids.append(item_id)
                 self.items.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], np.int32))
-        self.n = n
+        self.n, self.lengths = n, np.array([len(x) for x in self.items], np.int64)
         keys = defaultdict(set)
         for words in self.items:
             for k in {min(n, len(words)), min(PAIR, len(words))}:
@@ -95,9 +95,9 @@ class Block:
             grams = self.grams(words, k)
             where = np.flatnonzero(grams >= 0)
             if len(where):
-                place = np.searchsorted(keys, grams[where])
-                place[place == len(keys)] = 0
-                met = keys[place] == grams[where]
+                some = grams[where]
+                place = np.minimum(np.searchsorted(keys, some), len(keys) - 1)
+                met = keys[place] == some
                 found.append(place[met] + self.first[k])
                 at.append(where[met])
         return (np.concatenate(found), np.concatenate(at)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
@@ -194,9 +194,8 @@ def windows_of(block: Block, seeds: Seeds, words: np.ndarray, threshold: float)
         return []
     row = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n) + seeds.begin[grams[hit]]
     item, place, gram, alone = seeds.item[row], places[hit], grams[hit], seeds.alone[row]
-    own, which = np.unique(item, return_inverse=True)
-    span = np.ceil((3 - 2 * threshold) * np.array([len(block.items[i]) for i in own])).astype(np.int64)[which]
-    order = np.lexsort((place, item))
+    span = np.ceil((3 - 2 * threshold) * block.lengths[item]).astype(np.int64)
+    order = np.argsort(item * (len(words) + 1) + place)
     item, place, gram, alone, span = (x[order] for x in (item, place, gram, alone, span))
     # Other seeds need a different one of the item within the span.
     near = (item[1:] == item[:-1]) & (place[1:] - place[:-1] <= span[1:]) & (gram[1:] != gram[:-1])
