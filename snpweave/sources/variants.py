@@ -52,6 +52,11 @@ def factor_file(spark: SparkSession, path: str, names: tuple[str, str] = ("pop",
     return lines(spark, path).where(F.trim("value") != "").select("ord", f[0].alias("sample"), F.get(f, F.lit(1)).alias(names[0]), F.get(f, F.lit(2)).alias(names[1]))
 
 
+def order_file(spark: SparkSession, path: str) -> DataFrame:
+    """``(ord, sample)``: the first column in the file's order."""
+    return lines(spark, path).where(F.trim("value") != "").select("ord", fields(F.col("value"))[0].alias("sample"))
+
+
 def id_list(spark: SparkSession, path: str, name: str = "id", kind: str = "string") -> DataFrame:
     """Distinct trimmed lines."""
     return spark.read.text(path).select(F.trim("value").alias(name)).where(F.col(name) != "").select(F.col(name).cast(kind)).distinct()
@@ -112,10 +117,15 @@ def dart_table(spark: SparkSession, path: str) -> DataFrame:
     at = {c: i for i, c in enumerate(head.f)}
     begin = 1 + max(i for c, i in at.items() if c in DART_KNOWN)
     cell = lambda c: F.get("f", F.lit(at[c])) if c in at else F.lit(None).cast("string")
-    number = lambda c, form, label: F.when(cell(c).try_cast("double").isNotNull(), F.concat(F.lit(label), F.format_string(form, cell(c).try_cast("double"))))
     alleles = F.split_part(cell("SNP"), F.lit(":"), F.lit(2))
     frequency = cell("FreqHomSnp").try_cast("double") + F.lit(0.5) * cell("FreqHets").try_cast("double")
-    info = F.concat_ws(";", number("CallRate", "%.4f", "CR="), F.when(frequency.isNotNull(), F.format_string("AF=%.4f", frequency)), number("FreqHets", "%.4f", "HET="), number("AvgPIC", "%.4f", "PIC="), number("RepAvg", "%.4f", "REP="))
+    depth = cell("AvgCountRef").try_cast("double") + cell("AvgCountSnp").try_cast("double")
+    said = lambda c, label: F.when(cell(c).isNotNull(), F.concat(F.lit(label), F.trim(cell(c))))
+    parts = (
+        F.when(depth.isNotNull(), F.format_string("DP=%.1f", depth)), said("CallRate", "CR="), F.when(frequency.isNotNull(), F.format_string("AF=%.4f", frequency)),
+        said("FreqHets", "HET="), said("AvgPIC", "PIC="), said("RepAvg", "REP="),
+    )
+    info = F.coalesce(F.nullif(F.concat_ws(";", *parts), F.lit("")), F.lit("."))
     names = F.array(*map(F.lit, head.f[begin:])) if head.f[begin:] else F.array().cast("array<string>")
     each = body.where(F.col("ord") > head.ord).select("ord", cell("CloneID").alias("chrom"), cell("SnpPosition").cast("long").alias("pos"), F.substring(alleles, 1, 1).alias("ref"), F.substring(alleles, 3, 1).alias("alt"), phred(cell("RepAvg")).alias("qual"), info.alias("info"), F.posexplode(F.slice("f", begin + 1, 1 << 30)).alias("i", "score"))
     return each.select("ord", "chrom", "pos", "ref", "alt", "qual", "info", F.get(names, F.col("i")).alias("sample"), dart_call(F.trim("score")).alias("gt"))

@@ -86,7 +86,12 @@ def test_marker_table(spark, tmp_path):
     path = put(tmp_path, "d.csv", "*,*,*\n" + head + "a1,c1,ACGT,5:A>G,5,0.9,0.2,0.4,0.9,0,1,2,-\n")
     rows = variants.dart_table(spark, path).orderBy("sample").collect()
     assert [r.gt for r in rows] == ["0/0", "1/1", "0/1", "./."] and (rows[0].ref, rows[0].alt, rows[0].qual) == ("A", "G", "10.0")
-    assert rows[0].info == "CR=0.9000;AF=0.4000;HET=0.4000;REP=0.9000"
+    assert rows[0].info == "CR=0.9;AF=0.4000;HET=0.4;REP=0.9"
+    deep = head.replace("RepAvg", "AvgCountRef,AvgCountSnp")
+    assert variants.dart_table(spark, put(tmp_path, "f.csv", deep + "a1,c1,ACGT,5:A>G,5, 0.90,x,0.4,10.25,4.5,0,1,2,-\n")).first().info == "DP=14.8;CR=0.90;HET=0.4"
+    bare = "AlleleID,CloneID,AlleleSequence,SNP,SnpPosition,i1\na1,c1,ACGT,5:A>G,5,0\n"
+    assert variants.dart_table(spark, put(tmp_path, "g.csv", bare)).first().info == "."
+    assert [r["sample"] for r in variants.order_file(spark, put(tmp_path, "o.txt", "b x\n\na y\nb z\n")).orderBy("ord").collect()] == ["b", "a", "b"]
     with pytest.raises(ValueError, match="needs the columns"):
         variants.dart_table(spark, put(tmp_path, "e.csv", "x,y\n1,2\n"))
 
