@@ -19,9 +19,11 @@ shingles in which the sets differ.  So any two that share a bucket end in one co
 or have been compared on full sets, or cannot be linked, while a bucket of n like texts
 costs n comparisons and texts that merely share a passage make no pairs.
 
-Comparisons run where the smaller number of rows meets: the sets, worked out once with the
-signatures, join the pairs by their larger end, and the pairs of a much-linked member are
-dealt over several tasks, each with one copy of its set.  What is left of one bucket is
+Comparisons run where the smaller number of rows meets: the sets of the documents that share
+a bucket are worked out in a second pass over their texts (all sets, written with the signatures,
+would take more disk than the texts) and join the pairs by their larger end; the pairs of a
+much-linked member are dealt over several tasks, each with one copy of its set.  Up to
+``common.BROADCAST_IDS`` such documents the second pass moves no text.  What is left of one bucket is
 held against itself inside one join task, by the bound; only pairs that pass it become rows.
 
 Documents are rows here, told apart by a row number; ids are only reported.
@@ -131,11 +133,10 @@ def may_link(threshold: int) -> Column:
     return differ * (100 + threshold) <= (F.col("x.n_shingles") + F.col("y.n_shingles")) * (100 - threshold)
 
 
-def signatures(docs: DataFrame, *, words: int = WORDS, m: int = HALF_KEYS, k: int = HALF_SIZE, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """``(doc_id, row, n_shingles, set1, set2, first, second, sketch, shingles)``, written: a 128-bit digest of the set, both
-    half-key collections, the parity sketch and the sorted set itself."""
-    marked, row = (docs, row_col) if row_col else numbered_rows(docs)
-    id_type = docs.schema[id_col].dataType.simpleString()
+def signatures(texts: DataFrame, *, words: int = WORDS, m: int = HALF_KEYS, k: int = HALF_SIZE) -> DataFrame:
+    """``(doc_id, row, n_shingles, set1, set2, first, second, sketch)`` of ``texts (doc_id, row, text)``, written: a 128-bit
+    digest of the set, both half-key collections and the parity sketch."""
+    id_type = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_slices(batches, "text"):
@@ -145,12 +146,23 @@ def signatures(docs: DataFrame, *, words: int = WORDS, m: int = HALF_KEYS, k: in
             lists = [pa.array([None if x is None else x[part] for x in keys], pa.list_(pa.int64())) for part in (slice(0, m), slice(m, None))]
             sketches = pa.array([parity_sketch(s) if len(s) else None for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), rows.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), *lists, sketches, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                names=["doc_id", "row", "n_shingles", "set1", "set2", "first", "second", "sketch", "shingles"],
+                [rows.column(0), rows.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), *lists, sketches],
+                names=["doc_id", "row", "n_shingles", "set1", "set2", "first", "second", "sketch"],
             )
 
-    schema = f"doc_id {id_type}, row long, n_shingles long, set1 long, set2 long, first array<long>, second array<long>, sketch array<long>, shingles array<long>"
-    return map_arrow(marked.select(F.col(id_col).alias("doc_id"), F.col(row).alias("row"), F.col(text_col).cast("string").cast("binary").alias("text")), run, schema, "signatures")
+    schema = f"doc_id {id_type}, row long, n_shingles long, set1 long, set2 long, first array<long>, second array<long>, sketch array<long>"
+    return map_arrow(texts, run, schema, "signatures")
+
+
+def full_sets(texts: DataFrame, needed: DataFrame, words: int = WORDS) -> DataFrame:
+    """``(row, shingles)``, written: the sorted sets of the rows that ``needed (row)`` lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, whole in text_slices(batches, "text"):
+            sets = [s.view(np.int64) for s in shingle_sets(whole, words)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["row", "shingles"])
+
+    return map_arrow(texts.select("row", "text").join(bounded_broadcast(needed), "row", "left_semi"), run, "row long, shingles array<long>", "sets")
 
 
 def bucket_members(reps: DataFrame) -> DataFrame:
@@ -190,7 +202,9 @@ def bucket_pairs(rest: DataFrame, threshold: int) -> DataFrame:
 def minhash_components(docs: DataFrame, *, words: int = WORDS, threshold: int = THRESHOLD, m: int = HALF_KEYS, k: int = HALF_SIZE, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """``(doc_id, row, n_shingles, component_id, kept, first)``, one row a document.  ``kept`` marks the component's smallest
     id, ``first`` the one row of the component with the smallest id and row number (a row that is linked with nothing is its own)."""
-    sig = signatures(docs, words=words, m=m, k=k, id_col=id_col, text_col=text_col, row_col=row_col)
+    marked, number = (docs, row_col) if row_col else numbered_rows(docs)
+    texts = marked.select(F.col(id_col).alias("doc_id"), F.col(number).alias("row"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    sig = signatures(texts, words=words, m=m, k=k)
     full = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialize(full.groupBy("set1", "set2").agg(F.min("row").alias("rep"), F.min(F.struct("doc_id", "row")).alias("least"), F.count(F.lit(1)).alias("n")), "classes")
     reps = full.join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
@@ -201,7 +215,7 @@ def minhash_components(docs: DataFrame, *, words: int = WORDS, threshold: int =
     stars = stars.join(reps.select(F.col("row").alias("a"), F.col("n_shingles").alias("n_rep")), "a").where(fits).select("a", "b")
     stars = materialize(stars, "stars")
     needed = materialize(members.select("row").distinct(), "needed")
-    sets = materialize(sig.select("row", "shingles").join(bounded_broadcast(needed), "row", "left_semi"), "sets")
+    sets = full_sets(texts, needed, words)
 
     tried = materialize(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
     links = materialize(confirm(tried, sets, threshold), "links").select("a", "b")
@@ -216,7 +230,7 @@ def minhash_components(docs: DataFrame, *, words: int = WORDS, threshold: int =
     labelled = members.select("key", "row", "n_shingles").join(comps.withColumnRenamed("id", "row"), "row", "left").withColumn("comp", F.coalesce("comp", "row"))
     labelled = materialize(labelled, "labelled")
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi AND n > 2").select("key")
-    bits = reps.select("row", *[F.element_at("sketch", i + 1).alias(f"s{i}") for i in range(SKETCH)])
+    bits = sig.join(bounded_broadcast(needed), "row", "left_semi").select("row", *[F.element_at("sketch", i + 1).alias(f"s{i}") for i in range(SKETCH)])
     rest = labelled.join(mixed, "key", "left_semi").join(bits, "row")
     pairs = materialize(bucket_pairs(rest, threshold).join(stars, ["a", "b"], "left_anti"), "residue")
     links3 = materialize(confirm(pairs, sets, threshold), "links").select("a", "b")
