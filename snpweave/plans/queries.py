@@ -188,14 +188,20 @@ CLONED = G + ", gc AS (SELECT ind, pop, grp, m, chrom, pos, a1, a2 FROM g UNION
 PERC = 'match2 * 50.0::DOUBLE / "both"'
 
 
+def pairs_of(spark, d, crosswise: bool = True, clones: bool = False) -> DataFrame:
+    """All pairs of samples, with the copies of :func:`with_clones` on demand; blocks by the number of suppliers."""
+    g = genotypes(spark, d)
+    return pairwise.matches(with_clones(g) if clones else g, crosswise=crosswise, blocks=pairwise.blocks_for(table(spark, d, "supplier").count()))
+
+
 @query("pairwise_match", G + _pairs_sql(CROSSWISE) + 'SELECT ind1, ind2, "both", match2 FROM pr')
 def _pairwise(spark, d):
-    return pairwise.matches(genotypes(spark, d))
+    return pairs_of(spark, d)
 
 
 @query("pairwise_match_gd", G + _pairs_sql("a.a1 = b.a1 OR a.a2 = b.a2") + 'SELECT ind1, ind2, "both", match2 FROM pr')
 def _pairwise_gd(spark, d):
-    return pairwise.matches(genotypes(spark, d), crosswise=False)
+    return pairs_of(spark, d, crosswise=False)
 
 
 @query("all_pairs", G + "SELECT a.ind AS ind1, b.ind AS ind2 FROM smp a JOIN smp b ON a.ind < b.ind")
@@ -206,19 +212,19 @@ def _all_pairs(spark, d):
 
 @query("p_distance", G + _pairs_sql("a.a1 = b.a1 OR a.a2 = b.a2") + 'SELECT ind1, ind2, round(1 - match2 / (2 * "both"), 9) AS d FROM pr WHERE "both" > 100')
 def _distance(spark, d):
-    return pairwise.distances(pairwise.matches(genotypes(spark, d), crosswise=False)).where("both > 100").select("ind1", "ind2", F.round("d", 9).alias("d"))
+    return pairwise.distances(pairs_of(spark, d, crosswise=False)).where("both > 100").select("ind1", "ind2", F.round("d", 9).alias("d"))
 
 
 @query("gdmatrix", G + _pairs_sql("a.a1 = b.a1 OR a.a2 = b.a2") + """, dm AS (SELECT ind1, ind2, round(1 - match2 / (2 * "both"), 9) AS d FROM pr)
 SELECT * FROM dm UNION ALL SELECT ind2, ind1, d FROM dm UNION ALL SELECT ind, ind, 0.0 FROM smp""")
 def _matrix(spark, d):
     """Every sample with every sample, in long form: a column a sample would not grow with the table."""
-    pairs = pairwise.matches(genotypes(spark, d), crosswise=False)
+    pairs = pairs_of(spark, d, crosswise=False)
     return pairwise.distance_table(pairwise.distances(pairs).withColumn("d", F.round("d", 9)), samples(spark, d))
 
 
 def cloned(spark, d):
-    return pairwise.match_perc(pairwise.matches(with_clones(genotypes(spark, d))))
+    return pairwise.match_perc(pairs_of(spark, d, clones=True))
 
 
 @query("similarity_hist", CLONED + f", p AS (SELECT {PERC} AS mp FROM pr) SELECT b AS bin, count(mp) AS n FROM range(1, 100) t(b) LEFT JOIN p ON mp BETWEEN 1 AND 100 AND least(CAST(floor(mp) AS BIGINT), 99) = b GROUP BY b")
@@ -258,7 +264,7 @@ cg AS (SELECT comp, cc.ind, first_value(cc.ind) OVER (PARTITION BY comp ORDER BY
 def clone_groups(spark, d):
     g = with_clones(genotypes(spark, d))
     called = g.groupBy("ind").agg(F.count(F.lit(1)).alias("genotyped"))
-    pairs = pairwise.match_perc(pairwise.matches(g))
+    pairs = cloned(spark, d)
     return pairs, graph.clone_groups(pairs, called, 99.0)
 
 
@@ -285,7 +291,7 @@ def _clone_stats(spark, d):
 @query("nj_tree")
 def _tree(spark, d):
     """Over all samples."""
-    return graph.neighbour_joining(pairwise.distances(pairwise.matches(genotypes(spark, d), crosswise=False)))
+    return graph.neighbour_joining(pairwise.distances(pairs_of(spark, d, crosswise=False)))
 
 
 @query("shared_loci", G + """, p AS (SELECT DISTINCT ind, chrom FROM g WHERE a1 + a2 > 0 AND m % 5 = ind % 5), q AS (SELECT a.ind, b.ind AS t, count(*) AS n FROM p a JOIN p b ON a.chrom = b.chrom GROUP BY ALL)

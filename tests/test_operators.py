@@ -24,6 +24,7 @@ def test_match_scores_agree_with_row_comparison(spark):
         score = gt.match_twice(F.col("x.a1"), F.col("x.a2"), F.col("y.a1"), F.col("y.a2"), crosswise)
         plain = x.join(y, (F.col("x.m") == F.col("y.m")) & (F.col("x.ind") < F.col("y.ind"))).groupBy(F.col("x.ind").alias("ind1"), F.col("y.ind").alias("ind2")).agg(F.count(F.lit(1)).alias("both"), F.sum(score).alias("match2"))
         assert {tuple(r) for r in plain.collect()} == {tuple(r) for r in pairwise.matches(g, crosswise=crosswise).collect()}
+        assert {tuple(r) for r in plain.collect()} == {tuple(r) for r in pairwise.matches(g, crosswise=crosswise, blocks=5).collect()}
 
 
 def test_missing_alleles_are_missing_calls(spark):
