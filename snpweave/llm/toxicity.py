@@ -22,6 +22,9 @@ is used in the end.  Both are fitted on counts of raw outputs in
 ``BINS`` steps by language and label, so their size does not grow with the rows.  The thresholds go into ``flagged`` by the language that a
 separate column holds, if one is given; they never enter the score.
 
+Every text is read and worked through once, where it lies: raw outputs are written first, and labels, calibration and thresholds
+meet them without the text, which no shuffle carries.
+
 Defined results: null and empty texts get the score of a text without words; without
 labelled rows every score is 0, with one class alone it is that class's value; repeated ids are rows of
 their own, of several labels of one id the largest counts; an empty table gives no rows;
@@ -39,6 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import discard
 from .common import WordTable, held_out, map_arrow, sample_labelled, text_pieces, text_slices, worker_state
 
 #: Hash buckets, embedding size, filters of each width, widths.
@@ -239,10 +243,6 @@ class ConvText:
         """Shares of toxic rows at the outputs; a hundredth of the score follows the output itself, so that order is kept inside a pool."""
         return 0.99 * np.interp(logits, self.edges, self.levels) + 0.01 / (1 + np.exp(-np.clip(logits, -LOGIT, LOGIT) / 8))
 
-    def scores(self, texts: list[str | None], table: WordTable) -> np.ndarray:
-        """Scores of whole texts."""
-        return np.full(len(texts), self.constant) if self.constant is not None else self.calibrated(self.raw(texts, table))
-
 
 def passages(ids: np.ndarray, label: int, crop: int = CROP) -> list[tuple[np.ndarray, int]]:
     """A clean text's passages are clean each; a toxic text's label holds for the whole, which is kept whole."""
@@ -277,21 +277,29 @@ def best_threshold(logits: np.ndarray, labels: np.ndarray, n: np.ndarray) -> flo
     return float((steps[k] + steps[k + 1]) / 2) if k + 1 < len(steps) else float(steps[k] - LOGIT / BINS)
 
 
-def counted(models: list[ConvText], labelled: DataFrame) -> list:
-    """``(lang, label, bin, n)`` of the raw outputs of all rows ``(text, lang, label, net)``, ``net`` being the number of the row's model."""
-    sent = labelled.sparkSession.sparkContext.broadcast(models)
+def outputs(models: list[ConvText], rows: DataFrame) -> DataFrame:
+    """``(doc_id, lang, output, bin)`` of all rows ``(doc_id, text, lang, net)``: the raw output of the first model, and the
+    step that the output of the row's own model, number ``net``, falls in."""
+    sent = rows.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = worker_state("toxicity", sent.value, lambda: [WordTable(m.terms, 100_000 // len(sent.value)) for m in sent.value])
+        tables = worker_state("toxicity", sent.value, lambda: [WordTable(m.terms, 20_000 if k else 100_000) for k, m in enumerate(sent.value)])
         for part, texts in text_slices(batches, "text", STEP_CHARS):
-            net, logits = part.column(3).to_numpy(), np.zeros(len(texts))
-            for q in np.unique(net).tolist():
-                own = np.flatnonzero(net == q)
-                logits[own] = sent.value[q].raw([texts[i] for i in own], tables[q])
-            bins = np.clip((logits + LOGIT) / (2 * LOGIT) * BINS, 0, BINS - 1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(bins)], names=["lang", "label", "bin"])
-
-    binned = map_arrow(labelled.select("text", "lang", "label", "net"), run, "lang string, label int, bin int", "bins")
+            net, logits = part.column(3).to_numpy(), sent.value[0].raw(texts, tables[0])
+            own = logits.copy()
+            for q in np.unique(net[net > 0]).tolist():
+                at = np.flatnonzero(net == q)
+                own[at] = sent.value[q].raw([texts[i] for i in at], tables[q])
+            bins = np.clip((own + LOGIT) / (2 * LOGIT) * BINS, 0, BINS - 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(logits), pa.array(bins)], names=["doc_id", "lang", "output", "bin"])
+
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    return map_arrow(rows.select("doc_id", "text", "lang", "net"), run, f"doc_id {id_type}, lang string, output double, bin int", "outputs")
+
+
+def counted(made: DataFrame, known: DataFrame) -> list:
+    """``(lang, label, bin, n)`` of the rows that :func:`outputs` made whose id has a label in ``known``."""
+    binned = made.select("doc_id", "lang", "bin").join(known, "doc_id")
     return binned.groupBy("lang", "label", "bin").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 2 * BINS rows a language
 
 
@@ -334,6 +342,21 @@ def fold_of(doc_id: Column) -> Column:
     return F.pmod(F.xxhash64(doc_id, F.lit(SEED + 2)), F.lit(FOLDS)).cast("int")
 
 
+def calibrated_scores(made: DataFrame, model: ConvText, limits: dict[str, float], threshold: float) -> DataFrame:
+    """``(doc_id, score, flagged)`` of the rows that :func:`outputs` made."""
+    sent = made.sparkSession.sparkContext.broadcast((model, limits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, bounds = sent.value
+        for part in batches:
+            scores = m.calibrated(part.column(2).to_numpy())
+            least = np.array([bounds.get(x, threshold) for x in part.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores), pa.array((scores >= least).astype(np.int32))], names=["doc_id", "score", "flagged"])
+
+    id_type = made.schema["doc_id"].dataType.simpleString()
+    return map_arrow(made.select("doc_id", "lang", "output"), run, f"doc_id {id_type}, score double, flagged int", "scores")
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", threshold: float = 0.7, lang_col: str | None = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, held_out, score, predicted, flagged)``, one row a document; ``predicted`` compares with ``threshold``,
     ``flagged`` with the threshold of the document's language (``threshold`` where there is none)."""
@@ -342,22 +365,15 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, label_col: str = "tox
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(lang or [F.lit(None).cast("string").alias("lang")]))
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label")).where(~held_out(F.col("doc_id")))
     sample = sample_labelled(rows, known, SAMPLE, SEED, [fold_of(F.col("doc_id")).alias("fold")])
-    model, limits = fit(sample), {}
-    if model.constant is None:
+    model = fit(sample)
+    if model.constant is not None:
+        scored = rows.select("doc_id", F.lit(model.constant).alias("score"), F.lit(int(model.constant >= threshold)).alias("flagged"))
+    else:
         nets = [fit([r for r in sample if r.fold != q]) for q in range(FOLDS)]
         able = [q for q in range(FOLDS) if nets[q].constant is None]  # a part without which a class is missing cannot be left out
         which = spark.createDataFrame([(r.doc_id, 1 + able.index(r.fold) if r.fold in able else 0) for r in sample], f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, net int")
-        labelled = rows.join(known, "doc_id").join(F.broadcast(which), "doc_id", "left").withColumn("net", F.coalesce("net", F.lit(0)))  # at most 2 * SAMPLE ids
-        limits = settle(model, counted([model, *[nets[q] for q in able]], labelled))
-    sent, bounds = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(limits)
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        for part, texts in text_slices(batches, "text", STEP_CHARS):
-            scores = m.scores(texts, worker_state("toxicity", m, lambda: WordTable(m.terms)))
-            least = np.array([bounds.value.get(x, threshold) for x in part.column(2).to_pylist()])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores), pa.array((scores >= least).astype(np.int32))], names=["doc_id", "score", "flagged"])
-
-    scored = map_arrow(rows, run, f"doc_id {id_type}, score double, flagged int", "scores")
+        netted = rows.join(F.broadcast(which), "doc_id", "left").withColumn("net", F.coalesce("net", F.lit(0)))  # at most 2 * SAMPLE ids
+        made = outputs([model, *[nets[q] for q in able]], netted)
+        scored = calibrated_scores(made, model, settle(model, counted(made, known)), threshold)
+        discard(made)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "flagged")

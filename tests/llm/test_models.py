@@ -137,6 +137,29 @@ def test_toxicity_is_calibrated_on_all_labelled_rows(spark, monkeypatch):
     assert abs(np.mean([r.score for r in got]) - np.mean([rows[r.doc_id][3] for r in got])) < 0.05
 
 
+def test_toxicity_moves_no_whole_text(spark, tables, monkeypatch):
+    """With labels too many to broadcast: each text is read in one pass and no shuffle lies under it; every labelled row is counted, repeated ids too."""
+    docs, labels = tables
+    docs = docs.union(docs.where("doc_id < 9"))
+    plans, counts, write, settle = [], [], toxicity.map_arrow, toxicity.settle
+
+    def noted(df, *rest):
+        if "text" in df.columns:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *rest)
+
+    monkeypatch.setattr(toxicity, "map_arrow", noted)
+    monkeypatch.setattr(toxicity, "settle", lambda model, got: counts.extend(got) or settle(model, got))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = toxicity.toxicity_scores(docs, labels).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not [p for p in plans if "hashpartitioning" in p or "SortMergeJoin" in p] and len(plans) == 1
+    assert len(got) == docs.count() and sum(r.n for r in counts) == sum(not r.held_out for r in got)
+
+
 def test_toxicity_thresholds_use_counts():
     class Count(dict):
         __getattr__ = dict.__getitem__
