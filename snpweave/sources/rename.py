@@ -8,10 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def human_size(n: Column) -> Column:
-    """Bytes with one decimal (half to even) and a power-of-1024 unit."""
-    out = F.format_string("%3.1f%s", F.bround(n / F.lit(1024.0**4), 1), F.lit("TiB"))
-    for k, unit in ((3, "GiB"), (2, "MiB"), (1, "KiB"), (0, "B")):
+#: Units of sizes by powers of 1024.
+UNITS = ("B", "KiB", "MiB", "GiB", "TiB")
+
+
+def human_size(n: Column, last: str = "TiB") -> Column:
+    """Bytes with one decimal (half to even) and a power-of-1024 unit; all that is larger is given in the ``last`` unit."""
+    top = UNITS.index(last)
+    out = F.format_string("%3.1f%s", F.bround(n / F.lit(1024.0**top), 1), F.lit(last))
+    for k, unit in reversed([*enumerate(UNITS[:top])]):
         out = F.when(F.abs(n) < 1024.0 ** (k + 1), F.format_string("%3.1f%s", F.bround(n / F.lit(1024.0**k), 1), F.lit(unit))).otherwise(out)
     return out
 
