@@ -20,8 +20,8 @@ def connected_components(links: DataFrame, *, src: str = "a", dst: str = "b") ->
     shuffle, so a hub costs one row a task.  Labels are written to the shared folder
     each round: nothing is collected, and a lost executor costs one round at most.
     """
-    both = links.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b")
-    edges = materialize(both.union(both.select("b", "a")).distinct(), "edges")
+    ways = F.array(F.struct(F.col(src).alias("a"), F.col(dst).alias("b")), F.struct(F.col(dst).alias("a"), F.col(src).alias("b")))
+    edges = materialize(links.where(F.col(src) != F.col(dst)).select(F.inline(ways)).distinct(), "edges")
     labels = materialize(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp")), "labels")
     while True:
         near = edges.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
